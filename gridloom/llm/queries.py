@@ -1,9 +1,14 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import minhash
+from . import decontaminate, licenses, minhash
 
 QUERIES = {
+    "op6_license_scan": licenses.op6_license_scan,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_scan": licenses.SQL,
+    "op9_benchmark_decontamination": decontaminate.SQL,
+}
