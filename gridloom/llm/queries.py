@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, licenses, minhash, packing
+from . import decontaminate, licenses, lmscore, minhash, packing
 
 QUERIES = {
     "op1_best_two_fit_packing": packing.op1_best_two_fit_packing,
+    "op5_lm_scoring": lmscore.op5_lm_scoring,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
