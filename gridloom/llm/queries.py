@@ -1,9 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, licenses, lmscore, minhash, packing
+from . import decontaminate, langid, licenses, lmscore, minhash, packing, quality
 
 QUERIES = {
     "op1_best_two_fit_packing": packing.op1_best_two_fit_packing,
+    "op3_language_mixture": langid.op3_language_mixture,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_lm_scoring": lmscore.op5_lm_scoring,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
