@@ -1,7 +1,9 @@
 """The corpus pipeline: stages that filter and clean documents, then pack them.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns
-a DataFrame with the columns of ``docs``, the last one the packed pieces.
+a DataFrame with the columns of ``docs``, the last one the packed pieces.  A row
+whose doc_id is null can't be judged by id and stays; rows that share a doc_id
+stay or go together.
 """
 
 from __future__ import annotations
@@ -9,17 +11,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import minhash
+from gridloom.llm import decontaminate, minhash, packing, quality, suffix
 from gridloom.llm.common import Scratch, table
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go; it trusts the documents with good labels."""
+    judged = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return without(docs, judged.filter(~F.col("keep")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    out = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the text; a document of which nothing is left goes.
+
+    Bytes of a character that a cut splits go too; ``n_chars`` is counted anew where the text changed.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    held = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("was_null"), F.struct(*rest).alias("rest")).alias("held"))
+    cleaned = suffix.dedup_substrings(held, carry="held").filter("n_removed = 0 or n_removed < n_bytes")
+    columns = {c: F.col("held.rest")[c] for c in rest} | {"text": F.when(~F.col("held.was_null"), F.col("kept"))}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return cleaned.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in sequences: place, length and checksum of each."""
+    return packing.digests(packing.pack(docs, with_ids=False))
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_filter),
+    ("best_fit_packing", packed),
+]
 
 #: Several stages are iterative or keep statistics that SQL can't express; tests compare with brute force.
 ORACLE_SQL = None

@@ -378,13 +378,13 @@ def merge_columns(group: pa.Table) -> pa.Table:
     return ranges(REPEAT, r, order[late])
 
 
-CLEANED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+CLEANED = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
 
 
-def remove(length: int, with_text: bool):
+def remove(length: int, with_text: bool, carry: str | None):
     def run(batches):
         for batch in batches:
-            out = {f.name: [] for f in CLEANED}
+            out = {k: [] for k in CLEANED}
             for doc, text, cut in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist(), strict=True):
                 text = text or b""
                 parts, at, removed, n = [], 0, 0, 0
@@ -398,27 +398,34 @@ def remove(length: int, with_text: bool):
                         removed, at, until = removed + b - until, b, b
                 parts.append(text[at:])
                 left = b"".join(parts)
-                for k, v in zip(out, (doc, len(text), removed, n, hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
+                for k, v in zip(out, (doc, len(text), removed, n, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None), strict=True):
                     out[k].append(v)
-            yield batch_of(CLEANED, out)
+            columns = [pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in out.items()]
+            names = list(out)
+            if carry:
+                columns, names = [*columns, batch.column(carry)], [*names, carry]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row a row of ``docs``; ``kept`` are the bytes left.
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row a row of ``docs``.
+
+    ``kept`` is the text left (``with_text``), without the bytes of characters that a cut
+    splits.  The column named by ``carry`` comes along; others are ignored.
 
     Null and empty texts have no bytes.  Earlier means a smaller doc_id, or an earlier
     start in the document; a null doc_id is smaller than all.  Rows that share a doc_id
     are ordered by a hash of their text; equal ones are one document and get the same
-    result.  Texts shorter than ``length`` lose nothing.  Other columns are ignored.
+    result.  Texts shorter than ``length`` lose nothing.
     """
     if not 8 <= gram <= length or length < 16:
         raise ValueError("gram: at least 8 and at most length; length: at least 16")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("did"), F.xxhash64(text).alias("sha"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("did"), F.xxhash64(text).alias("sha"), text.alias("text"), *([carry] if carry else []))
     long = rows.filter(F.octet_length("text") >= length)
     size, n = long.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(16, -(-(size or 0) // SHARD))
@@ -438,7 +445,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         every = every.union(x)
     cut = scratch.keep(every.groupBy("did", "sha").agg(F.collect_list(F.struct("lo", "many")).alias("cut")))
     out = rows.join(cut, ["did", "sha"], "left")
-    return out.select("doc_id", "text", "cut").mapInArrow(remove(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = ", ".join(f"{k} {v}" for k, v in CLEANED.items())
+    if carry:
+        schema += f", `{carry}` {docs.schema[carry].dataType.simpleString()}"
+    return out.select("doc_id", "text", "cut", *([carry] if carry else [])).mapInArrow(remove(length, with_text, carry), schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
