@@ -7,13 +7,15 @@
    ``rank + fraction``.  Ranks are drawn level by level for all elements at once;
    a document stops as soon as every cell holds a value below the next rank,
    because later ranks can't change it.
-3. Bands of the signature give bucket keys.  In each bucket, hubs are compared
-   with the other members on their full shingle sets.  A hub that has been
-   compared with all others leaves the bucket; a bucket ends when its remaining
-   members are in one component.  So no pair that shares a bucket and could join
-   two components is left out, and groups of alike documents cost one comparison
-   a member, not one a pair.
-4. Links are grouped by union-find in each partition, then by alternating star
+3. Bands of the signature give bucket keys.  In each bucket the smallest doc_id is
+   the hub, and every other member is compared with it on the full shingle sets:
+   one comparison a member, not one a pair.
+4. A bucket whose members are then still in several components may hide links
+   between members.  Members apart from their hub seek links to the other members of
+   that hub's buckets: counted on full sets, in blocks inside tasks, so that only
+   links become rows.  No pair that shares a bucket and could join two components is
+   left out.
+5. Links are grouped by union-find in each partition, then by alternating star
    contractions across partitions.
 
 With 40 bands of 5 cells, a pair at the similarity threshold 0.75 shares no band
@@ -26,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import GOLDEN, U64, Scratch, Words, batch_of, mix, seeds, shingles, steps, table
@@ -171,52 +172,103 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
+SETS = pa.schema([("rep", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+
+def shingle_lists(width: int):
+    def run(batches):
+        for batch, raw in steps(batches):
+            sets = shingles(Words(raw), width)
+            cut = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+            yield batch_of(SETS, {"rep": batch.column("rep"), "s": pa.ListArray.from_arrays(cut, np.concatenate(sets).view(np.int64) if sets else [])})
+
+    return run
+
+
+#: Members of a hub's buckets that are compared with seekers at once.
+BLOCK = 512
+
+
+def seek_links(percent: int):
+    """For each seeker, one linked member of the block for each other component that it is linked to."""
+
+    def run(seekers: pa.Table, members: pa.Table) -> pa.Table:
+        out = {"a": [], "b": []}
+        if len(seekers) and len(members):
+            ids, comps = members.column("rep").to_numpy(), members.column("comp").to_numpy()
+            sets = members.column("s").combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy())
+            values = sets.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for x, comp, s in zip(seekers.column("rep").to_pylist(), seekers.column("comp").to_pylist(), seekers.column("s"), strict=True):
+                s = s.values.to_numpy()
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                if 100 * np.count_nonzero(n) < percent * len(s):  # no set can share enough
+                    continue
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                same = np.bincount(owner[at], minlength=len(ids))
+                linked = np.flatnonzero((100 * same >= percent * (len(s) + sizes - same)) & (comps != comp))
+                for i in linked[np.unique(comps[linked], return_index=True)[1]]:
+                    out["a"].append(min(x, int(ids[i])))
+                    out["b"].append(max(x, int(ids[i])))
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return run
+
+
+def sought_links(seekers: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components: of each seeker (rep, comp, goal), to members (rep, comp, goal) of its goals.
+
+    Both sides of a goal are cut into blocks by a hash, so no task holds a whole
+    goal; pairs are counted on full sets inside a task and only links leave it.
+    """
+    active = members.select("rep").distinct()
+    lists = scratch.keep(active.join(texts.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(shingle_lists(width), "rep long, s array<long>"), "lz4")
+    counts = seekers.groupBy("goal").agg(F.count("*").alias("xs")).join(members.groupBy("goal").agg(F.count("*").alias("ys")), "goal")
+    counts = scratch.keep(counts.select("goal", F.ceil(F.col("xs") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("ys") / BLOCK).cast("int").alias("ys")))
+    one = seekers.join(counts, "goal").join(lists, "rep").withColumn("x", F.pmod(F.hash("rep"), F.col("xs"))).withColumn("y", F.explode(F.expr("sequence(0, ys - 1)")))
+    two = members.join(counts, "goal").join(lists, "rep").withColumn("y", F.pmod(F.hash("rep"), F.col("ys"))).withColumn("x", F.explode(F.expr("sequence(0, xs - 1)")))
+    columns = ["goal", "x", "y", "rep", "comp", "s"]
+    one = scratch.keep(one.select(columns), "lz4")
+    return one.groupBy("goal", "x", "y").cogroup(two.select(columns).groupBy("goal", "x", "y")).applyInArrow(seek_links(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts have no shingles and are alone in their component.  Rows
     that share a doc_id are one node.  A null doc_id has no component and is kept.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.keep(docs.mapInArrow(features(width, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "lz4")
     real = feats.filter("n > 0 and doc_id is not null")
     classes = scratch.keep(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "lz4")
-    active = classes.select(F.col("rep"), "n", F.explode("bands").alias("key"), F.col("rep").alias("comp"))
     texts = docs.filter("doc_id is not null")
-    links = tested = group = None
-    most = 1
-    while True:
-        open_keys = scratch.keep(active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "n", "comp")).alias("hub")).filter("lo < hi").select("key", "hub"))
-        if open_keys.isEmpty():
-            break
-        members = scratch.keep(active.join(open_keys.select("key"), "key", "left_semi"))
-        hubs = open_keys.select("key", "hub.*")
-        if most > 1:
-            hubs = scratch.keep(members.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).filter(F.col("at") <= most).select("key", "rep", "n", "comp"))
-        hubs = hubs.select("key", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hc"))
-        met = members.join(hubs, "key").filter(f"hub <> rep and comp <> hc and 100 * least(n, hn) >= {percent} * greatest(n, hn)")
-        pairs = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
+    each = classes.select("rep", "n", F.explode("bands").alias("key"))
+    hubs = scratch.keep(each.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).filter("hub.rep < last").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hn")))
+    members = scratch.keep(each.join(hubs, "key").filter("rep <> hub"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        found = scratch.keep(sides.mapInArrow(verify(width, percent), "a long, b long, linked boolean"))
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        group = scratch.keep(components(links, scratch))
-        rest = members.select("key", "rep", "n").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "key", F.coalesce("component", "rep").alias("comp"))
-        old, active, most = active, scratch.keep(rest), most * 4
-        scratch.drop(old, members, open_keys, pairs)
-    named = classes.select("f1", "f2", "rep")
-    if group is None:
-        named = named.withColumn("component_id", F.col("rep"))
-    else:
-        named = named.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    named = scratch.keep(named.select("f1", "f2", "component_id", F.lit(True).alias("real")))
+        return scratch.keep(sides.mapInArrow(verify(width, percent), "a long, b long, linked boolean"))
+
+    stars = scratch.keep(members.filter(f"100 * least(n, hn) >= {percent} * greatest(n, hn)").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    first = verified(stars)
+    links = first.filter("linked").select("a", "b")
+    group = scratch.keep(components(links, scratch))
+    of = members.join(group.select(F.col("node").alias("rep"), F.col("component").alias("rc")), "rep", "left").join(group.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left")
+    apart = scratch.keep(of.select("key", "rep", "hub", F.coalesce("rc", "rep").alias("rc"), F.coalesce("hc", "hub").alias("hc")).withColumn("apart", F.col("rc") != F.col("hc")))
+    seekers = scratch.keep(apart.filter("apart").select("rep", F.col("rc").alias("comp"), F.col("hub").alias("goal")).distinct())
+    inside = apart.join(apart.filter("apart").select("key").distinct(), "key", "left_semi")
+    around = scratch.keep(inside.select("rep", F.col("rc").alias("comp"), F.col("hub").alias("goal")).distinct())
+    links = links.union(scratch.keep(sought_links(seekers, around, texts, width, percent, scratch)))
+    group = components(links, scratch)
+    named = classes.select("f1", "f2", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.keep(named.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("real")))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2", F.expr("n > 0 and doc_id is not null").alias("real"))
     out = out.join(named, ["f1", "f2", "real"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
