@@ -43,14 +43,16 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of executors.
 
-    ``keep`` writes a table and reads it back, ``drop`` deletes one that no later
-    step reads.  What is left goes when the driver's Python ends.
+    ``keep`` writes a table and reads it back, ``drop`` deletes tables that no later
+    step reads, ``only`` all but those that the result still reads.  What is left goes
+    when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []
         self.n = 0
         atexit.register(remove, spark, self.top)
 
@@ -60,8 +62,13 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self.held.append(out)  # ids stay unique
         return out
 
+    def only(self, *dfs: DataFrame) -> None:
+        for k in [k for k in self.paths if k not in set(map(id, dfs))]:
+            remove(self.spark, self.paths.pop(k))
+
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
             if df is not None and (path := self.paths.pop(id(df), None)):

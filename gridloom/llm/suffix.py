@@ -14,9 +14,13 @@ made by content, in such a way that equal strings always meet:
    refined to twice the depth, until none is left.  Kasai's pass over text order, in
    parallel lanes, gives common prefixes.  Suffixes that share ``LENGTH`` bytes are one
    class; each window but its first is a repeat.
-4. *Across shards.*  A gram that a sample shows to be in over ``HOT`` places is spread over
-   ``SALTS`` shards; the sorted windows that are first in their shard are merged by binary
-   search over the others'.
+4. *Merging.*  Contexts of one gram that are too many for one array get several, in
+   corpus order; windows of later arrays are looked up in the sorted windows of earlier
+   ones by binary search.
+5. *Frequent grams.*  A gram that a sample shows to be in over ``HOT`` places is keyed
+   more finely: windows at ``FINE`` neighbouring offsets have all but ``FINE - 1`` bytes in
+   common, and these bytes are the key.  If such a key is in over ``HOT`` places
+   too, each window is its own key, and equal windows are counted without an array.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, seeds, tabl
 
 LENGTH, GRAM = 100, 20
 #: Window starts in a piece of a document; text bytes for a shard, about; suffixes sorted at once, about.
-PIECE, SHARD, SORTED = 1 << 20, 32 << 20, 1 << 20
-#: Places from which on a gram's contexts are spread over SALTS shards; documents in the sample that finds such grams.
-HOT, SALTS, SAMPLE = 20_000, 64, 20_000
+PIECE, SHARD, SORTED = 1 << 20, 8 << 20, 1 << 20
+#: Places from which on a gram is keyed more finely; documents in the sample that finds such grams; offsets of a finer key.
+HOT, SAMPLE, FINE = 20_000, 20_000, 8
 
 VALUE = seeds(256, 31)
 _INVERSE = np.ones(1, U64)
@@ -54,7 +58,7 @@ def loads(buf: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray((len(buf) - size + 1,), kind, buf.tobytes(), 0, (1,)).copy()
 
 
-def contexts(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def contexts(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, hot: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
     """(piece, first window, windows, gram hash, context hash) of every run of windows with one anchor."""
     whole = b"".join(pieces)
     none = (np.empty(0, np.int64),) * 3 + (np.empty(0, U64),) * 2
@@ -98,11 +102,29 @@ def contexts(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
         last = np.flatnonzero(valid & np.append((anchor[1:] != anchor[:-1]) | ~valid[1:], True) | np.append(first[1:], True) & valid)
         many = last - lo + 1
         sums = np.concatenate(([U64(0)], np.cumsum(VALUE[text] * odd_powers(n)[:n])))
-        stop = lo + many - 1 + length
-        own = (sums[stop] - sums[lo]) * inverse_powers(n + 1)[lo]
-        own = mix(own + mix((anchor[lo] - lo).astype(U64) * U64(512) + many.astype(U64)))
+        inverse = inverse_powers(n + 1)
+
+        def content(start, stop):
+            return (sums[stop] - sums[start]) * inverse[start]
+
+        at = anchor[lo]
+        fp = mix(h[at] + GOLDEN)
+        for keys, width in zip(hot, (FINE, 1), strict=False):
+            often = np.isin(fp, keys)
+            if not often.any():
+                break
+            # offsets of the windows from their anchor, cut at multiples of width
+            deep = at[often] - lo[often]
+            near = deep - many[often] + 1
+            parts = deep // width - near // width + 1
+            which, part = np.repeat(np.flatnonzero(often), parts), spans(near // width, parts)
+            top, low_ = np.minimum(np.repeat(deep, parts), part * width + width - 1), np.maximum(np.repeat(near, parts), part * width)
+            common = content(at[which] - part * width, at[which] - (part * width + width - 1) + length)
+            finer = mix(fp[which] + mix(common + part.astype(U64) * GOLDEN))
+            lo, many, fp, at = (np.concatenate((x[~often], y)) for x, y in ((lo, at[which] - top), (many, top - low_ + 1), (fp, finer), (at, at[which])))
+        own = mix(content(lo, lo + many - 1 + length) + mix((at - lo).astype(U64) * U64(512) + many.astype(U64)))
         piece = np.searchsorted(ends, lo, "right")
-        return piece, lo - begins[piece], many, mix(h[anchor[lo]] + GOLDEN), own
+        return piece, lo - begins[piece], many, fp, own
 
 
 def pieces_of(raw: list[bytes], length: int = LENGTH):
@@ -136,34 +158,31 @@ def documents(batches):
 SEEN = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
 
-def gram_counts(length: int, gram: int):
+def gram_counts(length: int, gram: int, hot: tuple[np.ndarray, ...]):
     def run(batches):
         for _, _, raw in documents(batches):
             for part in pieces_of(raw, length):
-                fp = contexts([x for _, _, x in part], length, gram)[3]
+                fp = contexts([x for _, _, x in part], length, gram, hot)[3]
                 keys, n = np.unique(fp, return_counts=True)
                 yield batch_of(SEEN, {"fp": keys.view(np.int64), "n": n})
 
     return run
 
 
-FIELDS = {"fp": "<u8", "own": "<u8", "did": "<i8", "sha": "<i8", "lo": "<i4", "many": "<i4", "hot": "|u1"}
-PACKED = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), *[(k, pa.binary()) for k in FIELDS], ("text", pa.binary())])
-PACKED_SQL = "shard int, salt int, fp binary, own binary, did binary, sha binary, lo binary, many binary, hot binary, text binary"
+FIELDS = {"fp": "<u8", "own": "<u8", "did": "<i8", "sha": "<i8", "lo": "<i4", "many": "<i4"}
+PACKED = pa.schema([("shard", pa.int32()), *[(k, pa.binary()) for k in FIELDS], ("text", pa.binary())])
+PACKED_SQL = "shard int, fp binary, own binary, did binary, sha binary, lo binary, many binary, text binary"
 
 
 def packed(shards: int, rows: dict[str, np.ndarray], texts: list[bytes] | None = None) -> pa.RecordBatch:
-    """Rows grouped by (shard, salt), each group's columns as binaries."""
+    """Rows grouped by shard, each group's columns as binaries."""
     shard = (((rows["fp"] >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
-    salt = np.where(rows["hot"] > 0, 1 + mix(rows["did"].astype(U64) + GOLDEN) % U64(SALTS), 0).astype(np.int64)
-    key = shard * (SALTS + 1) + salt
-    order = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.diff(key[order], prepend=-1))
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
     out = {f.name: [] for f in PACKED}
     for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
         at = order[a:b]
         out["shard"].append(int(shard[at[0]]))
-        out["salt"].append(int(salt[at[0]]))
         for k, kind in FIELDS.items():
             out[k].append(rows[k][at].astype(kind).tobytes())
         out["text"].append(None if texts is None else b"".join(texts[i] for i in at))
@@ -174,26 +193,24 @@ def unpacked(group: pa.Table) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(group.column(k).to_pylist()), kind) for k, kind in FIELDS.items()}
 
 
-def spread(shards: int, hot_list: np.ndarray, length: int, gram: int):
+def spread(shards: int, hot: tuple[np.ndarray, ...], length: int, gram: int):
     def run(batches):
         for did, sha, raw in documents(batches):
             for part in pieces_of(raw, length):
-                piece, lo, many, fp, own = contexts([x for _, _, x in part], length, gram)
+                piece, lo, many, fp, own = contexts([x for _, _, x in part], length, gram, hot)
                 doc, base = np.array([i for i, _, _ in part]), np.array([at for _, at, _ in part])
-                yield packed(shards, {"fp": fp, "own": own, "did": did[doc[piece]], "sha": sha[doc[piece]], "lo": lo + base[piece], "many": many, "hot": np.isin(fp, hot_list)})
+                yield packed(shards, {"fp": fp, "own": own, "did": did[doc[piece]], "sha": sha[doc[piece]], "lo": lo + base[piece], "many": many})
 
     return run
 
 
-RANGES = pa.schema([("kind", pa.int32()), ("did", pa.int64()), ("sha", pa.int64()), ("lo", pa.int32()), ("many", pa.int32()), ("fp", pa.int64()), ("own", pa.int64()), ("hot", pa.bool_())])
-RANGES_SQL = "kind int, did long, sha long, lo int, many int, fp long, own long, hot boolean"
-#: Kinds of rows: windows that repeat, contexts whose bytes are needed, windows that are first in a salted shard.
-REPEAT, ASK, FIRST = 0, 1, 2
+RANGES = pa.schema([("ask", pa.bool_()), ("did", pa.int64()), ("sha", pa.int64()), ("lo", pa.int32()), ("many", pa.int32()), ("fp", pa.int64()), ("own", pa.int64())])
+RANGES_SQL = "ask boolean, did long, sha long, lo int, many int, fp long, own long"
 
 
-def ranges(kind, rows, at, fp=None, own=None) -> pa.Table:
-    n = len(at)
-    return pa.Table.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(rows["did"][at], pa.int64()), pa.array(rows["sha"][at], pa.int64()), pa.array(rows["lo"][at], pa.int32()), pa.array(rows["many"][at], pa.int32()), pa.array((rows["fp"] if fp is None else fp)[at].view(np.int64), pa.int64()), pa.array((rows["own"] if own is None else own)[at].view(np.int64), pa.int64()), pa.array(rows["hot"][at] > 0, pa.bool_())], schema=RANGES)
+def ranges(rows: dict[str, np.ndarray], at: np.ndarray, ask: bool = False) -> pa.Table:
+    """Windows that repeat, or with ``ask`` contexts whose bytes are needed."""
+    return pa.Table.from_arrays([pa.array(np.full(len(at), ask))] + [pa.array(rows[k][at].view(np.int64) if k in ("fp", "own") else rows[k][at], RANGES.field(k).type) for k in RANGES.names[1:]], schema=RANGES)
 
 
 def copies(group: pa.Table) -> pa.Table:
@@ -204,8 +221,8 @@ def copies(group: pa.Table) -> pa.Table:
     new_fp = np.append(True, fp[1:] != fp[:-1])
     first = new_fp | np.append(True, own[1:] != own[:-1])
     gram = np.cumsum(new_fp) - 1
-    several = (np.bincount(gram, first) > 1)[gram] | (r["hot"][order] > 0)
-    return pa.concat_tables([ranges(REPEAT, r, order[~first]), ranges(ASK, r, order[first & several])])
+    several = (np.bincount(gram, first) > 1)[gram]
+    return pa.concat_tables([ranges(r, order[~first]), ranges(r, order[first & several], ask=True)])
 
 
 def cut_out(shards: int, length: int):
@@ -309,39 +326,40 @@ def repeats(length: int):
         begin = np.cumsum(size) - size
         text = np.frombuffer(b"".join(group.column("text").to_pylist()), np.uint8)
         out = [RANGES.empty_table()]
-        by_gram = np.argsort(r["fp"], kind="stable")
-        new = np.append(True, r["fp"][by_gram][1:] != r["fp"][by_gram][:-1])
-        total = np.cumsum(size[by_gram])
-        begins = np.flatnonzero(new)
+        order = np.lexsort((r["lo"], r["sha"], r["did"], r["fp"]))
+        new = np.append(True, r["fp"][order][1:] != r["fp"][order][:-1])
+        upto = np.cumsum(size[order])
+        edges = np.append(np.flatnonzero(new), len(order))
         a = 0
-        while a < len(begins):  # whole grams, about SORTED bytes at a time
-            start = begins[a]
-            base = total[start] - size[by_gram[start]]
-            b = max(a + 1, int(np.searchsorted(total[np.append(begins[1:], len(by_gram)) - 1], base + SORTED, "right")))
-            stop = begins[b] if b < len(begins) else len(by_gram)
-            at = by_gram[start:stop]
-            at = at[np.lexsort((r["lo"][at], r["sha"][at], r["did"][at]))]
-            out.append(one_array(r, at, begin, size, text, length))
+        while a < len(edges) - 1:  # whole grams, about SORTED bytes in one array
+            start = edges[a]
+            base = upto[start] - size[order[start]]
+            b = max(a + 1, int(np.searchsorted(upto[edges[1:] - 1], base + SORTED, "right")))
+            at = order[start : edges[b]]
+            if upto[edges[b] - 1] - base <= SORTED:
+                out.append(one_array(r, in_order(r, at), begin, size, text, length))
+            else:
+                out += merged(r, in_order(r, at), begin, size, text, length)
             a = b
         return pa.concat_tables(out)
 
     return run
 
 
+def in_order(r, at: np.ndarray) -> np.ndarray:
+    return at[np.lexsort((r["lo"][at], r["sha"][at], r["did"][at]))]
+
+
 def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All of first[i], ..., first[i] + sizes[i] - 1."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
-def one_array(r, at, begin, size, text, length) -> pa.Table:
-    joined = text[spans(begin[at], size[at])]
+def late_windows(joined: np.ndarray, window: np.ndarray, length: int) -> np.ndarray:
+    """Whether an equal window starts before, by the suffix array of the joined contexts."""
     order = suffix_array(joined)
     same = common_prefixes(joined, order, length) >= length
-    starts = np.cumsum(size[at]) - size[at]
-    many = r["many"][at].astype(np.int64)
-    window = spans(starts, many)
-    owner = np.repeat(np.arange(len(at)), many)
     is_window = np.zeros(len(joined), bool)
     is_window[window] = True
     kind = np.cumsum(~same) - 1
@@ -351,31 +369,40 @@ def one_array(r, at, begin, size, text, length) -> pa.Table:
     np.minimum.at(least, kind, where)
     late = np.zeros(len(joined), bool)
     late[where[where != least[kind]]] = True
+    return late[window]
+
+
+def one_array(r, at, begin, size, text, length, earlier: list | None = None) -> pa.Table:
+    """Runs of repeating windows of the contexts ``at``; ``earlier`` are sorted windows of the arrays before."""
+    joined = text[spans(begin[at], size[at])]
+    starts = np.cumsum(size[at]) - size[at]
+    many = r["many"][at].astype(np.int64)
+    window = spans(starts, many)
+    owner = np.repeat(np.arange(len(at)), many)
+    late = late_windows(joined, window, length)
+    if earlier is not None:
+        h1, h2 = (window_hash(joined, window, length, s) for s in (1, 2))
+        for sorted1, sorted2 in earlier:
+            i = np.minimum(np.searchsorted(sorted1, h1), len(sorted1) - 1)
+            late |= (sorted1[i] == h1) & (sorted2[i] == h2)
+        new = np.flatnonzero(~late)
+        by = new[np.argsort(h1[new])]
+        if len(by):
+            earlier.append((h1[by], h2[by]))
     lo = r["lo"][at].astype(np.int64)[owner] + window - starts[owner]
-    late = late[window]
-    # runs of repeating windows in one context
-    edge = late & ~np.append(False, late[:-1] & (owner[1:] == owner[:-1]))
-    i = np.flatnonzero(edge)
-    j = np.flatnonzero(late & ~np.append(late[1:] & (owner[1:] == owner[:-1]), False))
-    rows = {k: r[k][at][owner] for k in FIELDS} | {"lo": lo.astype(np.int32), "many": np.ones(len(lo), np.int32)}
-    runs = {k: v[i] for k, v in rows.items()} | {"many": (j - i + 1).astype(np.int32)}
-    out = [ranges(REPEAT, runs, np.arange(len(i)))]
-    if (hot := ~late & (rows["hot"] > 0)).any():
-        h1, h2 = (np.zeros(len(lo), U64) for _ in range(2))
-        h1[hot], h2[hot] = (window_hash(joined, window[hot], length, s) for s in (1, 2))
-        out.append(ranges(FIRST, rows, np.flatnonzero(hot), h1, h2))
-    return pa.concat_tables(out)
-
-
-def merge_columns(group: pa.Table) -> pa.Table:
-    """Windows that are first in their salted shard but not over all: each is looked up in the sorted windows by binary search."""
-    r = {k: group.column(k).to_numpy() for k in ("did", "sha", "lo", "many")} | {"hot": np.ones(len(group), bool), "fp": group.column("fp").to_numpy().view(U64), "own": group.column("own").to_numpy().view(U64)}
-    order = np.lexsort((r["lo"], r["sha"], r["did"], r["own"], r["fp"]))
-    fp, own = r["fp"][order], r["own"][order]
-    first = np.searchsorted(fp, fp)
-    late = np.zeros(len(fp), bool)
-    late[1:] = (fp[1:] == fp[:-1]) & (own[1:] == own[:-1]) & (first[1:] < np.arange(1, len(fp)))
-    return ranges(REPEAT, r, order[late])
+    together = owner[1:] == owner[:-1]
+    i = np.flatnonzero(late & ~np.append(False, late[:-1] & together))
+    j = np.flatnonzero(late & ~np.append(late[1:] & together, False))
+    runs = {k: r[k][at][owner[i]] for k in FIELDS} | {"lo": lo[i].astype(np.int32), "many": (j - i + 1).astype(np.int32)}
+    return ranges(runs, np.arange(len(i)))
+
+
+def merged(r, at, begin, size, text, length) -> list[pa.Table]:
+    """Several arrays of about SORTED bytes, in corpus order, merged by binary search."""
+    part = (np.cumsum(size[at]) - 1) // SORTED
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    earlier: list = []
+    return [one_array(r, at[a:b], begin, size, text, length, earlier) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
 
 
 CLEANED = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
@@ -431,19 +458,20 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     shards = max(16, -(-(size or 0) // SHARD))
     part = min(1.0, max(SAMPLE / max(n, 1), 0.001))
     sampled = long.filter(F.pmod(F.xxhash64("did", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000))
-    often = sampled.mapInArrow(gram_counts(length, gram), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, hot * part))
-    hot_list = often.select("fp").toArrow().column("fp").to_numpy().view(U64)  # places in the corpus over HOT at most
-    first = long.select("did", "sha", "text").mapInArrow(spread(shards, hot_list, length, gram), PACKED_SQL).groupBy("shard", "salt").applyInArrow(copies, RANGES_SQL)
-    first = scratch.keep(first)
-    asked = first.filter(F.col("kind") == ASK).groupBy("did", "sha").agg(F.collect_list(F.struct("lo", "many", "fp", "own", F.col("hot").cast("int").alias("hot"))).alias("asked"))
+    keys: tuple[np.ndarray, ...] = ()
+    for _ in range(2):
+        often = sampled.mapInArrow(gram_counts(length, gram, keys), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, hot * part))
+        more = often.select("fp").toArrow().column("fp").to_numpy().view(U64)  # at most (places in the corpus) / HOT
+        if not len(more):
+            break
+        keys = (*keys, more)
+    first = scratch.keep(long.select("did", "sha", "text").mapInArrow(spread(shards, keys, length, gram), PACKED_SQL).groupBy("shard").applyInArrow(copies, RANGES_SQL))
+    asked = first.filter("ask").groupBy("did", "sha").agg(F.collect_list(F.struct("lo", "many", "fp", "own")).alias("asked"))
     need = asked.join(long.select("did", "sha", "text"), ["did", "sha"])
-    second = scratch.keep(need.mapInArrow(cut_out(shards, length), PACKED_SQL).groupBy("shard", "salt").applyInArrow(repeats(length), RANGES_SQL))
-    over = second.filter(F.col("kind") == FIRST).withColumn("shard", F.shiftrightunsigned("fp", 44)).groupBy("shard").applyInArrow(merge_columns, RANGES_SQL)
-    found = [x.select("did", "sha", "lo", "many") for x in (first.filter(F.col("kind") == REPEAT), second.filter(F.col("kind") == REPEAT), *([over] if len(hot_list) else []))]
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
+    second = scratch.keep(need.mapInArrow(cut_out(shards, length), PACKED_SQL).groupBy("shard").applyInArrow(repeats(length), RANGES_SQL))
+    every = first.filter("not ask").union(second).select("did", "sha", "lo", "many")
     cut = scratch.keep(every.groupBy("did", "sha").agg(F.collect_list(F.struct("lo", "many")).alias("cut")))
+    scratch.only(cut)
     out = rows.join(cut, ["did", "sha"], "left")
     schema = ", ".join(f"{k} {v}" for k, v in CLEANED.items())
     if carry:
