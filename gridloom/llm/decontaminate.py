@@ -103,6 +103,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle:
     covered = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = places.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     hit = scratch.keep(covered.join(named, "doc_id"))
+    base = scratch.keep(base)
+    scratch.only(hit, base)
     out = base.join(hit, "doc_id", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

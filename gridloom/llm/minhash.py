@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     group = components(links, scratch)
     named = classes.select("f1", "f2", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.keep(named.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("real")))
-    out = feats.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2", F.expr("n > 0 and doc_id is not null").alias("real"))
+    slim = scratch.keep(feats.select("doc_id", "n", "f1", "f2"))
+    scratch.only(slim, named)
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2", F.expr("n > 0 and doc_id is not null").alias("real"))
     out = out.join(named, ["f1", "f2", "real"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
