@@ -29,6 +29,13 @@ def source_tile(df: DataFrame, row: int = 0, column: int = 0, rows: int = TILE_R
     return df.filter((F.col(PLACE) >= row) & (F.col(PLACE) < row + rows)).orderBy(PLACE).select(*[col(n) for n in names])
 
 
+def legacy_tile(df: DataFrame, where: dict | None = None, sort: dict | None = None, row: int = 0, column: int = 0, rows: int = TILE_ROWS, columns: int = TILE_COLS) -> DataFrame:
+    """A tile of a source by one condition and one sort column (nulls last): filtered, then sorted, then cut."""
+    ops = [{"type": "filter", "predicate": where}] if where is not None else []
+    ops += [{"type": "sort", "keys": [sort | {"nulls_last": True}]}] if sort is not None else []
+    return tile(pipeline.run(df, ops), row, column, rows, columns)
+
+
 def tile_bytes(df: DataFrame) -> bytes:
     """A tile as an Arrow IPC stream."""
     t = df.toArrow()

@@ -14,7 +14,7 @@ import math
 from ..functions.scalars import argument
 from .view import canonical
 
-TARGETS = ("duckdb", "ansi", "pandas", "polars", "duckdb_python", "pyspark", "dbt", "shell", "shell_csv")
+TARGETS = ("duckdb_sql", "ansi_sql", "pandas", "polars", "python_duckdb", "pyspark", "dbt", "shell", "shell_csv")
 
 # SQL type names.
 SQL_TYPES = {"int32": "INTEGER", "int64": "BIGINT", "float32": "REAL", "float64": "DOUBLE PRECISION", "text": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
@@ -246,11 +246,11 @@ def reader(module: str, uri: str) -> str:
 
 def code(ops: list[dict], uri: str, columns: list[str], target: str) -> str:
     duck = Sql().query(ops, scan(uri), columns)
-    if target == "duckdb":
+    if target == "duckdb_sql":
         return duck
-    if target == "ansi":
+    if target == "ansi_sql":
         return Sql(ansi=True).query(ops, name(uri.rsplit("/", 1)[-1].split(".")[0]), columns)
-    if target == "duckdb_python":
+    if target == "python_duckdb":
         return f"import duckdb\n\nresult = duckdb.sql({duck!r}).df()\n"
     if target == "pyspark":
         steps = json.dumps(ops)

@@ -466,6 +466,11 @@ def _view_tile(spark, d):
     return tiles.tile(pipeline.run(source(spark, d, "orders"), SORTED), 512, 0, 256, 3)
 
 
+@query("legacy_tile", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0 ORDER BY c_custkey DESC LIMIT 50 OFFSET 10")
+def _legacy_tile(spark, d):
+    return tiles.legacy_tile(source(spark, d, "customer"), {"op": "gte", "column": "c_acctbal", "value": 0}, {"column": "c_custkey", "descending": True}, 10, 0, 50, 2)
+
+
 @query("view_tile_batch", "SELECT * FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10) UNION ALL SELECT * FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 100)")
 def _batch(spark, d):
     engine = Engine(spark)
@@ -515,7 +520,7 @@ COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
 Q["code_duckdb"] = (lambda spark, d: pipeline.apply(source(spark, d, "lineitem"), CHAIN), export.Sql().query(CHAIN, "lineitem", COLUMNS))
 
 
-@query("code_export", "SELECT unnest(['duckdb', 'ansi', 'pandas', 'polars', 'duckdb_python', 'pyspark', 'dbt', 'shell', 'shell_csv']) AS target, true AS made")
+@query("code_export", "SELECT unnest(['duckdb_sql', 'ansi_sql', 'pandas', 'polars', 'python_duckdb', 'pyspark', 'dbt', 'shell', 'shell_csv']) AS target, true AS made")
 def _code(spark, d):
     return spark.createDataFrame([(t, bool(export.code(CHAIN, f"{d}/lineitem.parquet", COLUMNS, t))) for t in export.TARGETS], "target string, made boolean")
 

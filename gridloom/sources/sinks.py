@@ -49,10 +49,16 @@ def arrow_stream(df: DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def rewrite(df: DataFrame, path: str, sort: list[str] | None = None) -> None:
-    """The source again with row groups of 512 MiB, Snappy and statistics, at a new path."""
-    out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.option("parquet.block.size", GROUP_BYTES).option("compression", "snappy").parquet(path)
+def rewrite(df: DataFrame, path: str, sort: list[str] | None = None, bloom: list[str] | None = None) -> None:
+    """The source again with row groups of 512 MiB, Snappy and statistics, at a new path.
+
+    Sorting narrows the row groups' value ranges; ``bloom`` columns get Parquet's own
+    bloom filters, so that equality filters skip row groups.
+    """
+    out = (df.sortWithinPartitions(*sort) if sort else df).write.option("parquet.block.size", GROUP_BYTES).option("compression", "snappy")
+    for c in bloom or ():
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.parquet(path)
 
 
 def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:

@@ -204,11 +204,11 @@ def test_exported_code_runs(spark):
     path = f"{DATA}/customer.parquet"
     want = [(r.k, r.n, round(r.m, 6)) for r in apply(readers.read_parquet(spark, [path]), ops).collect()]
     columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-    for target in ("duckdb_python", "pandas"):
+    for target in ("python_duckdb", "pandas"):
         space: dict = {}
         exec(export.code(ops, path, columns, target), space)
         assert [(a, b, round(m, 6)) for a, b, m in space["result"].itertuples(index=False)] == want
-    assert [(a, b, round(m, 6)) for a, b, m in duckdb.connect().execute(export.code(ops, path, columns, "duckdb")).fetchall()] == want
+    assert [(a, b, round(m, 6)) for a, b, m in duckdb.connect().execute(export.code(ops, path, columns, "duckdb_sql")).fetchall()] == want
 
 
 def test_predicate_editing():
@@ -226,3 +226,19 @@ def test_stream_refuses(spark):
         apply_stream(df, [op("limit", n=1)])
     assert apply_stream(df, [op("rename", mappings=[["a", "b"]])]).columns == ["b"]
     assert F is not None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    path = f"{DATA}/orders.parquet"
+    assert main(["inspect", path]) == 0 and '"rows": 1500' in capsys.readouterr().out
+    where = '{"op": "eq", "column": "o_orderstatus", "value": "F"}'
+    assert main(["export", path, "--format", "parquet", "-o", f"{tmp_path}/o", "--filter", where, "--columns", "o_orderkey", "--limit", "7"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/o").count() == 7
+    assert main(["codegen", path, "--target", "duckdb_sql", "--filter", where]) == 0
+    assert duckdb.connect().execute(capsys.readouterr().out).fetchall()
+    (tmp_path / "v.json").write_text('{"source_id": "%s", "ops": [{"type": "limit", "n": 3}]}' % path)
+    assert main(["apply", f"{tmp_path}/v.json", "--format", "csv", "-o", f"{tmp_path}/c"]) == 0
+    assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 3
+    assert main(["profile", f"{DATA}/region.parquet"]) == 0 and len(capsys.readouterr().out.splitlines()) == 2
