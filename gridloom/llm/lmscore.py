@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, Scratch, Words, batch_of, held_out, mix, steps, table
 
-MAX_FILTER = 96 << 20
+MAX_FILTER = 48 << 20
 MIN_BITS, BITS = 6, 12
 HEAD = 100_000
 MU = 300.0
@@ -147,18 +147,24 @@ def build(share: int):
     return run
 
 
+def joined(rows: list[tuple[int, bytes, int, int, int]], segments: int) -> tuple[np.ndarray, ...]:
+    """All segments' bits in one array, and each one's first bit, size, probes and base."""
+    size, probes, base, offset = np.ones(segments, U64), np.zeros(segments, np.int64), np.zeros(segments, np.int64), np.zeros(segments, np.int64)
+    bits = np.zeros(max(1, sum(len(r[1]) for r in rows)), np.uint8)
+    at = 0
+    for seg, part, n, k, low in rows:
+        size[seg], probes[seg], base[seg], offset[seg] = n, k, low, at * 8
+        bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
+        at += len(part)
+    return bits, offset, size, probes, base
+
+
 class Filter:
-    """All segments' bits, probed for the levels of n-gram hashes."""
-
-    def __init__(self, rows: list[tuple[int, bytes, int, int, int]], segments: int):
-        self.segments = segments
-        self.size, self.probes, self.base, self.offset = np.ones(segments, U64), np.zeros(segments, np.int64), np.zeros(segments, np.int64), np.zeros(segments, np.int64)
-        at, parts = 0, []
-        for seg, bits, size, probes, base in rows:
-            self.size[seg], self.probes[seg], self.base[seg], self.offset[seg] = size, probes, base, at * 8
-            at += len(bits)
-            parts.append(bits)
-        self.bits = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
+    """Probes the joined filter for the levels of n-gram hashes."""
+
+    def __init__(self, bits, offset, size, probes, base):
+        self.bits, self.offset, self.size, self.probes, self.base = bits, offset, size, probes, base
+        self.segments = len(size)
         self.most = 2 * 64 + 1
 
     def has(self, keys, lv, seg) -> np.ndarray:
@@ -200,8 +206,8 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def score(shared, total: int, distinct: int, mu: float):
     def run(batches):
-        rows, segments, head, head_n = shared.value
-        model = Filter(rows, segments)
+        parts, head, head_n = shared.value
+        model = Filter(*parts)
         zero = total + 0.5 * (distinct + 1)
         for batch, raw in steps(batches):
             t, before, first = tokens(raw)
@@ -247,7 +253,7 @@ def lm_scores(docs: DataFrame, remainder: int = 1, mu: float = MU, max_filter: i
     keys, n = head.column("key").to_numpy().view(U64), head.column("c").to_numpy()
     order = np.argsort(keys)
     rows = [tuple(r) for r in model.filter("key is null").select("seg", "bits", F.col("c").alias("size"), "probes", "base").collect()]  # at most max_filter bytes
-    shared = spark.sparkContext.broadcast((rows, segments, keys[order], n[order]))  # plain values: pickled by reference to numpy alone
+    shared = spark.sparkContext.broadcast((joined(rows, segments), keys[order], n[order]))  # plain values: pickled by reference to numpy alone
     scored = scratch.keep(docs.mapInArrow(score(shared, total, distinct, mu), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("key"))
     more = rare.join(counts, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / 0.5)).alias("gain"))
