@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import shutil
@@ -235,6 +236,7 @@ def written(spark, df: DataFrame, how, read) -> DataFrame:
     """Rows after a round trip through a sink, in a folder all executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
     top = f"{base.rstrip('/')}/gridloom-io-{os.getpid()}-{id(df)}"
+    atexit.register(shutil.rmtree, top.removeprefix("file://"), True)
     how(df, top)
     return read(top)
 
