@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         place = held.get() if held.isDefined() else None
     if not place:
         place = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, place, True)
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 

@@ -19,19 +19,21 @@ from .common import Scratch, table
 FANOUT = 16
 #: Records in an archive of ``warc_records``.
 ARCHIVE = 1000
+SPARE = 4096
 
 
 def warc_records(pages: DataFrame, per_archive: int = ARCHIVE) -> DataFrame:
     """(archive, ordinal, offset, length, page_id, record): WARC/1.0 response records of the pages.
 
     Pages are put into archives by ``page_id div per_archive``, ordered by page_id (ties:
-    url, html).  Null url and html are empty; rows without a page_id are in archive -1.
+    url, html).  Null url and html are empty; rows without a page_id are dealt to ``SPARE``
+    archives below 0 by a hash, so that many of them are no single task.
     Other columns are ignored.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col("url").cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     record = F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long").alias("archive"), F.col("page_id").cast("long").alias("page_id"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
+    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / per_archive).cast("long"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(SPARE))).cast("long").alias("archive"), F.col("page_id").cast("long").alias("page_id"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("archive").orderBy("page_id", "record")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("archive", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.coalesce(before, F.lit(0).cast("long")).alias("offset"), "length", "page_id", "record")

@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 20
 PIECE, SHARD, SORTED = 1 << 20, 8 << 20, 1 << 20
 #: Places from which on a gram is keyed more finely; documents in the sample that finds such grams; offsets of a finer key.
 HOT, SAMPLE, FINE = 20_000, 20_000, 8
+#: Frequent grams that are sent to workers at most (32 MB); HOT rises with the input where it would give more.
+MAX_KEYS = 4_000_000
 
 VALUE = seeds(256, 31)
 _INVERSE = np.ones(1, U64)
@@ -458,10 +460,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     shards = max(16, -(-(size or 0) // SHARD))
     part = min(1.0, max(SAMPLE / max(n, 1), 0.001))
     sampled = long.filter(F.pmod(F.xxhash64("did", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000))
+    hot = max(hot, (size or 0) // MAX_KEYS)  # a context has one byte of its own at least
     keys: tuple[np.ndarray, ...] = ()
     for _ in range(2):
         often = sampled.mapInArrow(gram_counts(length, gram, keys), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, hot * part))
-        more = often.select("fp").toArrow().column("fp").to_numpy().view(U64)  # at most (places in the corpus) / HOT
+        more = often.select("fp").toArrow().column("fp").to_numpy().view(U64)  # at most MAX_KEYS
         if not len(more):
             break
         keys = (*keys, more)
