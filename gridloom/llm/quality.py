@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, steps, table
 
 QUANTILE, SLACK, LEAST, PRIOR = 0.995, 2.0, 30, 12
+#: Languages whose thresholds are broadcast.
+MAX_LANGUAGES = 10_000
 
 COUNTED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("tokens", pa.int64()), ("grams", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64())])))])
 
@@ -124,19 +126,23 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     counted = named.mapInArrow(gram_counts, "row long, doc_id long, lang string, tokens long, grams array<struct<a:string,b:string,c:string,n:bigint>>")
     counted = scratch.keep(counted)
     heads = scratch.keep(counted.select("row", "doc_id", "lang", "tokens").join(good, "doc_id", "left"))
-    each = counted.select("row", "doc_id", F.inline("grams"))
-    model = each.join(good.select("doc_id"), "doc_id", "left_semi").select("a", "b", "c", "n")
+    each = counted.select("row", F.inline("grams"))
+    # always by shuffle: the plan and its growth are the same at every size
+    model = counted.select("doc_id", "grams").join(good.select("doc_id").hint("merge"), "doc_id", "left_semi").select(F.inline("grams"))
     prob = scratch.keep(probabilities(each.select("a", "b", "c"), model, scratch))
     sums = each.join(prob, ["a", "b", "c"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
     scored = heads.join(sums, "row", "left").select("row", "doc_id", "lang", F.col("tokens").alias("n_tokens"), F.coalesce("logp", F.lit(0.0)).alias("logp"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    scored = scratch.keep(scored)
-    mean = scored.filter("trusted").agg(F.sum("logp") / F.sum("n_tokens")).first()[0] or 0.0
+    sums = scratch.keep(scored)
+    mean = sums.filter("trusted").agg(F.sum("logp") / F.sum("n_tokens")).first()[0] or 0.0
     steady = F.exp(-(F.col("logp") + prior * mean) / (F.col("n_tokens") + prior))
-    scored = scored.withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens"))).withColumn("steadied", steady)
+    scored = sums.withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens"))).withColumn("steadied", steady)
     sure = scored.filter("trusted")
     every = sure.agg(F.percentile_approx("steadied", quantile, 10_000)).first()[0]
     by = sure.groupBy("lang").agg(F.percentile_approx("steadied", quantile, 10_000).alias("q"), F.count("*").alias("many")).filter(f"lang is not null and many >= {LEAST}").select("lang", "q")
-    out = scored.join(by, "lang", "left")
+    by = scratch.keep(by)
+    scratch.only(sums, by)
+    few = by.count() <= MAX_LANGUAGES  # else both sides are shuffled
+    out = scored.join(F.broadcast(by) if few else by, "lang", "left")
     threshold = (F.coalesce("q", F.lit(every).cast("double")) * slack).alias("threshold")
     out = out.select("row", "doc_id", "lang", "n_tokens", "perplexity", "steadied", threshold)
     return out.withColumn("keep", F.coalesce(F.col("steadied") <= F.col("threshold"), F.lit(True)))
