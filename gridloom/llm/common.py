@@ -136,6 +136,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: Bytes that are hashed at once; a longer text is cut at white space.
+HASH_BYTES = 8 << 20
+
+
 class Words:
     """The words of some texts (bytes of A-Z lower-cased, split at white space) as 64-bit hashes.
 
@@ -146,6 +150,26 @@ class Words:
     VALUE = seeds(256, 11)
 
     def __init__(self, raw: list[bytes]):
+        if sum(map(len, raw)) <= HASH_BYTES:
+            self.h, self.first = self.hashed(raw)
+            return
+        # a few texts or pieces of one at a time
+        parts, counts = [], []
+        for x in raw:
+            n = at = 0
+            while at < len(x):
+                end = at + HASH_BYTES // 2
+                if end < len(x):
+                    cut = next((i for i in range(end, len(x)) if SPACE[x[i]]), len(x))
+                    end = cut
+                h, _ = self.hashed([x[at:end]])
+                parts.append(h)
+                n, at = n + len(h), end
+            counts.append(n)
+        self.h = np.concatenate(parts) if parts else np.empty(0, U64)
+        self.first = np.append(0, np.cumsum(counts)).astype(np.int64)
+
+    def hashed(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         space = SPACE[text]
         begin = np.empty(len(text), bool)
@@ -153,10 +177,9 @@ class Words:
         np.logical_and(~space[1:], space[:-1], out=begin[1:])
         at = np.flatnonzero(begin)
         ends = np.cumsum([len(x) + 1 for x in raw])
-        self.first = np.searchsorted(at, np.concatenate(([0], ends)))
+        first = np.searchsorted(at, np.concatenate(([0], ends)))
         if not len(at):
-            self.h = np.empty(0, U64)
-            return
+            return np.empty(0, U64), first
         text, space = text[at[0]:], space[at[0]:]
         at = at - at[0]
         width = np.diff(np.append(at, len(text)))
@@ -165,7 +188,7 @@ class Words:
         value[space] = 0
         with np.errstate(over="ignore"):
             value *= odd_powers(int(width.max()))[place]
-            self.h = mix(np.add.reduceat(value, at))
+            return mix(np.add.reduceat(value, at)), first
 
 
 _POWERS = np.ones(1, U64)

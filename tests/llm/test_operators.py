@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, fixity, forest, langid, licenses, lmscore, minhash, packing, quality, suffix
+from gridloom.llm import common, decontaminate, fixity, forest, langid, licenses, lmscore, minhash, packing, quality, suffix
 from gridloom.llm import queries as registered
 from tests.helpers import DATA, connect, same
 
@@ -21,6 +21,14 @@ def by_id(df, *columns):
 # --- near duplicates ---
 
 
+def test_long_texts_hash_alike(documents, monkeypatch):
+    raw = [(t or "").encode() for _, t in documents]
+    whole = common.Words(raw)
+    monkeypatch.setattr(common, "HASH_BYTES", 64)
+    parts = common.Words(raw)
+    assert (whole.h == parts.h).all() and (whole.first == parts.first).all()
+
+
 def test_near_duplicates(plain, documents):
     got = by_id(minhash.near_duplicates(plain), "n_shingles", "component_id", "kept")
     assert got == brute.near(documents)
