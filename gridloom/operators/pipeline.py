@@ -17,6 +17,7 @@ from ..functions.predicates import compile_predicate
 from ..functions.scalars import compile_scalar, order_by
 from ..functions.types import col
 from ..plans.view import canonical
+from . import ordinal
 
 PLACE = "__place"
 SEED = 0x517CC1B727220A95
@@ -57,9 +58,19 @@ def op_drop(f: Frame, op: dict) -> Frame:
 
 
 def op_derive(f: Frame, op: dict) -> Frame:
-    """A column of that name is replaced in its place."""
-    value = compile_scalar(op["expr"], f.df.schema, lambda: list(f.order), op.get("typed", False))
-    return replace(f, df=f.df.withColumn(op["name"], value), names=f.names if op["name"] in f.names else (*f.names, op["name"]))
+    """A column of that name is replaced in its place.
+
+    A rank or tile number of all rows is counted by partitions, which runs jobs.
+    """
+    kind, df = op["expr"]["kind"], f.df
+    if kind == "rank" or kind == "n_tile" and op["expr"]["n"] > 0:
+        keys = order_by(op["expr"]["order"], df.columns) if kind == "rank" else []
+        df, rows = ordinal.numbered(df, [*keys, *f.order])
+        at = F.col(ordinal.NUMBER)
+        value = at if kind == "rank" else F.floor((at - 1) * F.lit(op["expr"]["n"]) / F.lit(max(rows, 1))).cast("bigint") + F.lit(1).cast("bigint")
+    else:
+        value = compile_scalar(op["expr"], df.schema, lambda: list(f.order), op.get("typed", False))
+    return replace(f, df=df.withColumn(op["name"], value).drop(ordinal.NUMBER), names=f.names if op["name"] in f.names else (*f.names, op["name"]))
 
 
 def op_deduplicate(f: Frame, op: dict) -> Frame:

@@ -91,6 +91,22 @@ def test_scalars(spark, people):
     assert one({"kind": "trim", "expr": v("  a b\t")}, times) == ["a b"]
 
 
+def test_row_numbers_across_partitions(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "(id * 7919) % 5003 as x")
+    got = apply(df, [op("derive", name="r", expr={"kind": "rank", "order": [{"column": "x", "descending": False}]})]).toPandas().sort_values("x")
+    assert got.r.tolist() == list(range(1, 5001))
+    tiles_ = apply(df, [op("derive", name="t", expr={"kind": "n_tile", "n": 4})]).groupBy("t").count().collect()
+    assert sorted((r.t, r["count"]) for r in tiles_) == [(1, 1250), (2, 1250), (3, 1250), (4, 1250)]
+
+
+def test_global_percentile(spark):
+    df = spark.range(0, 30_000, 1, 3).selectExpr("cast((id * 7919) % 10007 as double) v").unionAll(spark.range(100).selectExpr("cast(null as double)"))
+    values = sorted(r.v for r in df.collect() if r.v is not None)
+    for p in (0, 1, 37.5, 50, 99.99, 100):
+        got = apply(df, [op("group_by", keys=[], aggs=[{"fn": "percentile", "column": "v", "p": p, "alias": "x"}])]).first().x
+        assert got == values[math.floor(p / 100 * (len(values) - 1) + 0.5)]
+
+
 def test_operations(people):
     assert [tuple(r) for r in apply(people, [op("deduplicate", columns=["name"])]).collect()] and apply(people, [op("deduplicate", columns=["name"])]).count() == 3
     assert sorted(r.val for r in apply(people, [op("deduplicate", columns=["name", "nope"])]).collect()) == [10, 20, 30]
