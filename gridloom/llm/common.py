@@ -89,9 +89,19 @@ def held_out(doc_id, remainder: int):
 # --- text batches ---------------------------------------------------------
 
 
+#: Rows of a batch whose texts are Python objects at once.
+ROWS = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their texts as UTF-8 bytes (null: empty), of about ``limit`` bytes each."""
-    for batch in batches:
+    for batch in slices(batches, max(ROWS, limit // 2048)):
         raw = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
         begin = size = 0
         for i, x in enumerate(raw):

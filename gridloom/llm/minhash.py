@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import GOLDEN, U64, Scratch, Words, batch_of, mix, seeds, shingles, steps, table
+from .common import GOLDEN, U64, Scratch, Words, batch_of, mix, seeds, shingles, slices, steps, table
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 5, 75
 
@@ -98,31 +98,18 @@ def verify(width: int, percent: int):
     """Whether two texts' full shingle sets reach the similarity."""
 
     def run(batches):
-        for whole in batches:
-            size = len(whole)
-            begin = 0
-            lens = [len(x or "") + len(y or "") for x, y in zip(whole.column("ta").to_pylist(), whole.column("tb").to_pylist(), strict=True)] if size else []
-            total = 0
-            for i in range(size + 1):
-                if i < size and (total < 4 << 20 or i == begin):
-                    total += lens[i]
-                    continue
-                batch = whole.slice(begin, i - begin)
-                begin, total = i, lens[i] if i < size else 0
-                if not len(batch):
-                    continue
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                texts: dict[bytes, int] = {}
-                ta = [texts.setdefault(x or b"", len(texts)) for x in batch.column("ta").cast(pa.binary()).to_pylist()]
-                tb = [texts.setdefault(x or b"", len(texts)) for x in batch.column("tb").cast(pa.binary()).to_pylist()]
-                sets = shingles(Words(list(texts)), width)
-                ok = []
-                for i1, i2 in zip(ta, tb, strict=True):
-                    x, y = sets[i1], sets[i2]
-                    both = np.sort(np.concatenate((x, y)))
-                    same = int((both[1:] == both[:-1]).sum())
-                    ok.append(len(x) > 0 and len(y) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-                yield batch_of(LINKS, {"a": a, "b": b, "linked": ok})
+        for batch in slices(batches):
+            texts: dict[bytes, int] = {}
+            ta = [texts.setdefault(x or b"", len(texts)) for x in batch.column("ta").cast(pa.binary()).to_pylist()]
+            tb = [texts.setdefault(x or b"", len(texts)) for x in batch.column("tb").cast(pa.binary()).to_pylist()]
+            sets = shingles(Words(list(texts)), width)
+            ok = []
+            for i, j in zip(ta, tb, strict=True):
+                x, y = sets[i], sets[j]
+                both = np.sort(np.concatenate((x, y)))
+                same = int((both[1:] == both[:-1]).sum())
+                ok.append(len(x) > 0 and len(y) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+            yield batch_of(LINKS, {"a": batch.column("a"), "b": batch.column("b"), "linked": ok})
 
     return run
 
