@@ -17,9 +17,9 @@ made by content, in such a way that equal strings always meet:
 4. *Merging.*  Contexts of one gram that are too many for one array get several, in
    corpus order; windows of later arrays are looked up in the sorted windows of earlier
    ones by binary search.
-5. *Frequent grams.*  A gram that a sample shows to be in over ``HOT`` places is keyed
+5. *Frequent grams.*  A gram that a sample shows to be in over ``HOT`` documents is keyed
    more finely: windows at ``FINE`` neighbouring offsets have all but ``FINE - 1`` bytes in
-   common, and these bytes are the key.  If such a key is in over ``HOT`` places
+   common, and these bytes are the key.  If such a key is in over ``HOT`` documents
    too, each window is its own key, and equal windows are counted without an array.
 """
 
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, seeds, table
+from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, seeds, slices, table
 
 LENGTH, GRAM = 100, 20
 #: Window starts in a piece of a document; text bytes for a shard, about; suffixes sorted at once, about.
-PIECE, SHARD, SORTED = 1 << 20, 8 << 20, 1 << 20
-#: Places from which on a gram is keyed more finely; documents in the sample that finds such grams; offsets of a finer key.
+PIECE, SHARD, SORTED = 1 << 18, 8 << 20, 1 << 20
+#: Documents from which on a gram is keyed more finely; documents in the sample that finds such grams; offsets of a finer key.
 HOT, SAMPLE, FINE = 20_000, 20_000, 8
 #: Frequent grams that are sent to workers at most (32 MB); HOT rises with the input where it would give more.
 MAX_KEYS = 4_000_000
@@ -146,7 +146,7 @@ def pieces_of(raw: list[bytes], length: int = LENGTH):
 
 def documents(batches):
     """Batches' rows as (did, sha, text) lists of bounded size."""
-    for batch in batches:
+    for batch in slices(batches):
         did, sha = batch.column("did").to_numpy(), batch.column("sha").to_numpy()
         raw = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
         at = size = 0
@@ -164,16 +164,36 @@ def gram_counts(length: int, gram: int, hot: tuple[np.ndarray, ...]):
     def run(batches):
         for _, _, raw in documents(batches):
             for part in pieces_of(raw, length):
-                fp = contexts([x for _, _, x in part], length, gram, hot)[3]
-                keys, n = np.unique(fp, return_counts=True)
+                piece, _, _, fp, _ = contexts([x for _, _, x in part], length, gram, hot)
+                order = np.lexsort((piece, fp))
+                piece, fp = piece[order], fp[order]
+                new = np.append(True, (fp[1:] != fp[:-1]) | (piece[1:] != piece[:-1]))[: len(fp)]
+                keys, n = np.unique(fp[new], return_counts=True)
                 yield batch_of(SEEN, {"fp": keys.view(np.int64), "n": n})
 
     return run
 
 
-FIELDS = {"fp": "<u8", "own": "<u8", "did": "<i8", "sha": "<i8", "lo": "<i4", "many": "<i4"}
+#: ``done``: windows that are known to repeat an earlier place of their own document.
+FIELDS = {"fp": "<u8", "own": "<u8", "did": "<i8", "sha": "<i8", "lo": "<i4", "many": "<i4", "done": "|u1"}
 PACKED = pa.schema([("shard", pa.int32()), *[(k, pa.binary()) for k in FIELDS], ("text", pa.binary())])
-PACKED_SQL = "shard int, fp binary, own binary, did binary, sha binary, lo binary, many binary, text binary"
+PACKED_SQL = "shard int, fp binary, own binary, did binary, sha binary, lo binary, many binary, done binary, text binary"
+
+
+def settled(doc: np.ndarray, lo: np.ndarray, many: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The contexts with those that a document has had before joined to runs, and which ones these are.
+
+    A stretch of a short period has a context a period; it becomes one run.
+    """
+    order = np.lexsort((lo, own, fp, doc))
+    again = np.zeros(len(lo), bool)
+    again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (fp[order[1:]] == fp[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    order = np.lexsort((lo, doc))
+    doc, lo, many, fp, own, again = (x[order] for x in (doc, lo, many, fp, own, again))
+    on = np.append(False, again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1] + many[:-1]))
+    at = np.flatnonzero(~on)
+    many = np.add.reduceat(many, at) if len(at) else many
+    return doc[at], lo[at], many, fp[at], own[at], again[at]
 
 
 def packed(shards: int, rows: dict[str, np.ndarray], texts: list[bytes] | None = None) -> pa.RecordBatch:
@@ -195,13 +215,27 @@ def unpacked(group: pa.Table) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(group.column(k).to_pylist()), kind) for k, kind in FIELDS.items()}
 
 
+#: Contexts that are packed together, so that a shard's part is more than a few.
+TOGETHER = 200_000
+
+
 def spread(shards: int, hot: tuple[np.ndarray, ...], length: int, gram: int):
     def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+        n = 0
         for did, sha, raw in documents(batches):
             for part in pieces_of(raw, length):
                 piece, lo, many, fp, own = contexts([x for _, _, x in part], length, gram, hot)
                 doc, base = np.array([i for i, _, _ in part]), np.array([at for _, at, _ in part])
-                yield packed(shards, {"fp": fp, "own": own, "did": did[doc[piece]], "sha": sha[doc[piece]], "lo": lo + base[piece], "many": many})
+                mine, lo, many, fp, own, done = settled(doc[piece], lo + base[piece], many, fp, own)
+                rows = {"fp": fp, "own": own, "did": did[mine], "sha": sha[mine], "lo": lo, "many": many, "done": done}
+                held.append({k: v.astype(FIELDS[k]) for k, v in rows.items()})
+                n += len(fp)
+                if n > TOGETHER:
+                    yield packed(shards, {k: np.concatenate([h[k] for h in held]) for k in FIELDS})
+                    held, n = [], 0
+        if held:
+            yield packed(shards, {k: np.concatenate([h[k] for h in held]) for k in FIELDS})
 
     return run
 
@@ -218,33 +252,35 @@ def ranges(rows: dict[str, np.ndarray], at: np.ndarray, ask: bool = False) -> pa
 def copies(group: pa.Table) -> pa.Table:
     """Later copies of a context repeat; the first ones of grams with several contexts need their bytes."""
     r = unpacked(group)
-    order = np.lexsort((r["lo"], r["sha"], r["did"], r["own"], r["fp"]))
+    done = np.flatnonzero(r["done"])
+    order = np.flatnonzero(r["done"] == 0)
+    order = order[np.lexsort([r[k][order] for k in ("lo", "sha", "did", "own", "fp")])]
     fp, own = r["fp"][order], r["own"][order]
-    new_fp = np.append(True, fp[1:] != fp[:-1])
-    first = new_fp | np.append(True, own[1:] != own[:-1])
+    new_fp = np.append(True, fp[1:] != fp[:-1])[: len(fp)]
+    first = new_fp | np.append(True, own[1:] != own[:-1])[: len(fp)]
     gram = np.cumsum(new_fp) - 1
     several = (np.bincount(gram, first) > 1)[gram]
-    return pa.concat_tables([ranges(r, order[~first]), ranges(r, order[first & several], ask=True)])
+    return pa.concat_tables([ranges(r, done), ranges(r, order[~first]), ranges(r, order[first & several], ask=True)])
 
 
 def cut_out(shards: int, length: int):
     """The asked contexts' bytes, packed by shard."""
 
     def run(batches):
-        for batch in batches:
-            held = {k: [] for k in FIELDS}
-            texts, size = [], 0
+        held = {k: [] for k in FIELDS}
+        texts, size = [], 0
+        for batch in slices(batches):
             for did, sha, text, asked in zip(batch.column("did").to_pylist(), batch.column("sha").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 for a in asked:
                     for k in FIELDS:
-                        held[k].append(did if k == "did" else sha if k == "sha" else a[k])
+                        held[k].append(did if k == "did" else sha if k == "sha" else 0 if k == "done" else a[k])
                     texts.append(text[a["lo"] : a["lo"] + a["many"] - 1 + length])
                     size += len(texts[-1])
-                if size > 2 * PIECE:
+                if size > SHARD:
                     yield packed(shards, arrays(held), texts)
                     held, texts, size = {k: [] for k in FIELDS}, [], 0
-            if texts:
-                yield packed(shards, arrays(held), texts)
+        if texts:
+            yield packed(shards, arrays(held), texts)
 
     return run
 
@@ -412,7 +448,7 @@ CLEANED = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans":
 
 def remove(length: int, with_text: bool, carry: str | None):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k in CLEANED}
             for doc, text, cut in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist(), strict=True):
                 text = text or b""
