@@ -249,12 +249,25 @@ def ranges(rows: dict[str, np.ndarray], at: np.ndarray, ask: bool = False) -> pa
     return pa.Table.from_arrays([pa.array(np.full(len(at), ask))] + [pa.array(rows[k][at].view(np.int64) if k in ("fp", "own") else rows[k][at], RANGES.field(k).type) for k in RANGES.names[1:]], schema=RANGES)
 
 
+def distinct(r: dict[str, np.ndarray], order: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+    """Whether each of the ordered rows differs from the one before in one of the columns."""
+    out = np.zeros(len(order), bool)
+    out[:1] = True
+    for k in names:
+        out[1:] |= r[k][order[1:]] != r[k][order[:-1]]
+    return out
+
+
 def copies(group: pa.Table) -> pa.Table:
-    """Later copies of a context repeat; the first ones of grams with several contexts need their bytes."""
+    """Later copies of a context repeat; the first ones of grams with several contexts need their bytes.
+
+    Equal rows send the same contexts of the same document; they are no copies of each other.
+    """
     r = unpacked(group)
     done = np.flatnonzero(r["done"])
     order = np.flatnonzero(r["done"] == 0)
     order = order[np.lexsort([r[k][order] for k in ("lo", "sha", "did", "own", "fp")])]
+    order = order[distinct(r, order, ("lo", "sha", "did", "own", "fp"))]
     fp, own = r["fp"][order], r["own"][order]
     new_fp = np.append(True, fp[1:] != fp[:-1])[: len(fp)]
     first = new_fp | np.append(True, own[1:] != own[:-1])[: len(fp)]
@@ -268,9 +281,12 @@ def cut_out(shards: int, length: int):
 
     def run(batches):
         held = {k: [] for k in FIELDS}
-        texts, size = [], 0
+        texts, size, before = [], 0, None
         for batch in slices(batches):
             for did, sha, text, asked in zip(batch.column("did").to_pylist(), batch.column("sha").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                if (did, sha) == before:  # equal rows mostly come one after the other; repeats() sorts out the rest
+                    continue
+                before = did, sha
                 for a in asked:
                     for k in FIELDS:
                         held[k].append(did if k == "did" else sha if k == "sha" else 0 if k == "done" else a[k])
@@ -365,6 +381,7 @@ def repeats(length: int):
         text = np.frombuffer(b"".join(group.column("text").to_pylist()), np.uint8)
         out = [RANGES.empty_table()]
         order = np.lexsort((r["lo"], r["sha"], r["did"], r["fp"]))
+        order = order[distinct(r, order, ("lo", "sha", "did", "fp"))]
         new = np.append(True, r["fp"][order][1:] != r["fp"][order][:-1])
         upto = np.cumsum(size[order])
         edges = np.append(np.flatnonzero(new), len(order))

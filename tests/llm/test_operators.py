@@ -84,6 +84,17 @@ def test_repeats_edges(spark, clashing, documents):
     assert len(set(suffix.dedup_substrings(two).collect())) == 1
 
 
+def test_repeats_keep_equal_rows(spark, plain, documents):
+    """Rows given several times, some without an id, lose what the row given once loses."""
+    unique = " ".join(f"word{i * i}" for i in range(60))
+    rows = [(i, t) for i, t in documents for _ in range(2)] + [(-5, unique)] * 3
+    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = brute.repeated([*documents, (-5, unique)])
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+    null = spark.createDataFrame([(None, unique)] * 2 + [(7, unique)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix.dedup_substrings(null).collect()) == [(0, 0), (0, 0), (7, len(unique))]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for text in (rng.integers(97, 100, 400).astype(np.uint8), np.full(300, 97, np.uint8), np.frombuffer(b"abracadabra" * 30, np.uint8)):
