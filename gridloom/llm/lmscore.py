@@ -1,14 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-1. Every task counts the unigrams and bigrams of its training texts in steps; the
-   counts go, packed by hash segment, to the task that owns the segment.
+1. Texts are dealt into steps of about ``TOGETHER`` bytes, which are written once.
+   Each step's distinct unigrams and bigrams go, with their counts in its training
+   texts (0: only asked for), packed by hash segment, to the task that owns the segment.
 2. The owner adds them up.  A count c has level ``1 + floor(2 * log2 c)``, and the
    n-gram is put into the segment's filter once for each level up to its own, so
    that a level is found by repeated membership probes (levels are nested: by
-   bisection).  A segment has at most its share of ``MAX_FILTER`` bytes.  If
-   its entries don't get ``MIN_BITS`` bits each, the lowest count classes leave it,
-   class by class; the broadcast is bounded by construction, whatever the input.
-3. Workers get the filter by broadcast and score whole texts:
+   bisection).  A filter has ``BITS`` bits an entry, so all filters together grow with
+   the distinct n-grams; the number of segments grows with the text, so one filter
+   doesn't, and a task holds one at a time.
+3. The owner probes its filter for the n-grams of every step and sends the levels back
+   in the n-grams' order.  The step meets them and scores its texts:
    P(w|v) = (c(vw) + mu * P(w)) / (c(v) + mu), all counts from probes.
 
 The unigram base score uses exact counts: the ``HEAD`` most frequent tokens are
@@ -20,17 +22,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, Scratch, Words, batch_of, held_out, mix, steps, table
 
-MAX_FILTER = 48 << 20
 MIN_BITS, BITS = 6, 12
 HEAD = 100_000
 MU = 300.0
 #: Text bytes per segment, about.
 SEGMENT = 16 << 20
+#: Text bytes of a step, about; a longer text is a step of its own.
+TOGETHER = 4 << 20
 END, START = U64(0x1234567), U64(0x7654321)
 
 
@@ -72,24 +76,59 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (((keys >> U64(32)) * U64(segments)) >> U64(32)).astype(np.int64)
 
 
-PACKED = pa.schema([("seg", pa.int32()), ("uk", pa.binary()), ("uc", pa.binary()), ("bk", pa.binary()), ("bc", pa.binary())])
+HELD = pa.schema([("step", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("text", pa.list_(pa.binary()))])
+
+
+def together(batches):
+    """Each step's rows as one row."""
+    task = TaskContext.get().partitionId()
+    for i, (batch, raw) in enumerate(steps(batches, limit=TOGETHER)):
+        yield batch_of(HELD, {"step": [(task << 32) + i], "doc_id": [batch.column("doc_id").to_pylist()], "held_out": [batch.column("held_out").to_pylist()], "text": [raw]})
+
+
+def trained(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each is in the training part."""
+    some, n = summed(keys[train])
+    rest = summed(keys[~train])[0]
+    every = np.union1d(some, rest)
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, some)] = n
+    return every, counts
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, ...: the shuffle's codec packs the high ones."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind).ravel()
+
+
+PACKED = pa.schema([("step", pa.int64()), ("seg", pa.int32()), ("uk", pa.binary()), ("uc", pa.binary()), ("bk", pa.binary()), ("bc", pa.binary())])
 
 
 def count(segments: int):
+    """Each step's distinct n-grams (as differences) and training counts, by segment."""
+
     def run(batches):
-        for _, raw in steps(batches, limit=4 << 20):
-            t, before, _ = tokens(raw)
-            rows = {f.name: [] for f in PACKED}
-            parts = []
-            for k in (t, bigrams(t, before)):
-                key, n = summed(k)
-                parts.append((key, n.astype("<u4"), np.searchsorted(segment_of(key, segments), np.arange(segments + 1))))
-            (uk, uc, ua), (bk, bc, ba) = parts
-            for s in np.flatnonzero((np.diff(ua) > 0) | (np.diff(ba) > 0)):
-                u, b = slice(ua[s], ua[s + 1]), slice(ba[s], ba[s + 1])
-                for name, v in zip(rows, (int(s), uk[u].tobytes(), uc[u].tobytes(), bk[b].tobytes(), bc[b].tobytes()), strict=True):
-                    rows[name].append(v)
-            yield batch_of(PACKED, rows)
+        for batch in batches:
+            for i in range(len(batch)):
+                t, before, first = tokens(batch.column("text")[i].as_py())
+                train = np.repeat(~np.array(batch.column("held_out")[i].as_py(), bool), np.diff(first))
+                rows = {f.name: [] for f in PACKED}
+                parts = []
+                for k in (t, bigrams(t, before)):
+                    key, n = trained(k, train)
+                    parts.append((key, n.astype("<u4"), np.searchsorted(segment_of(key, segments), np.arange(segments + 1))))
+                (uk, uc, ua), (bk, bc, ba) = parts
+                step = batch.column("step")[i].as_py()
+                for s in np.flatnonzero((np.diff(ua) > 0) | (np.diff(ba) > 0)):
+                    u, b = slice(ua[s], ua[s + 1]), slice(ba[s], ba[s + 1])
+                    for name, v in zip(rows, (step, int(s), planes(np.diff(uk[u], prepend=U64(0))), planes(uc[u]), planes(np.diff(bk[b], prepend=U64(0))), planes(bc[b])), strict=True):
+                        rows[name].append(v)
+                yield batch_of(PACKED, rows)
 
     return run
 
@@ -114,8 +153,12 @@ def entry(keys: np.ndarray, lv) -> tuple[np.ndarray, np.ndarray]:
 MODEL = pa.schema([("seg", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("bits", pa.binary()), ("probes", pa.int32()), ("base", pa.int32())])
 
 
-def build(share: int):
-    """Exact unigram counts and the segment's filter of at most ``share`` bits."""
+def build(share: int | None = None):
+    """Exact unigram counts and the segment's filter, with ``BITS`` bits an entry.
+
+    Only if a caller bounds it to ``share`` bits and entries would get under ``MIN_BITS``
+    each, the lowest count classes leave it.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         def column(name, kind):
@@ -123,13 +166,14 @@ def build(share: int):
 
         uk, un = summed(column("uk", "<u8").astype(U64), column("uc", "<u4"))
         bk, bn = summed(column("bk", "<u8").astype(U64), column("bc", "<u4"))
+        (uk, un), (bk, bn) = ((k[n > 0], n[n > 0]) for k, n in ((uk, un), (bk, bn)))
         keys, lv = np.concatenate((uk, bk)), level(np.concatenate((un, bn)))
         above = np.bincount(lv, minlength=2)[::-1].cumsum()[::-1]  # n-grams that reach a level
         base = 0
-        while above[base + 1 :].sum() * MIN_BITS > share and base + 2 < len(above):
+        while share is not None and above[base + 1 :].sum() * MIN_BITS > share and base + 2 < len(above):
             base += 1
         entries = max(1, int(above[base + 1 :].sum()))
-        size = int(min(share, entries * BITS) + 64)
+        size = int((entries * BITS if share is None else min(share, entries * BITS)) + 64)
         probes = max(1, min(8, round(size / entries * 0.69)))
         bits = np.zeros(size, bool)
         for x in range(base + 1, len(above)):
@@ -201,60 +245,93 @@ class Filter:
         return np.where(good > base, good, 0)
 
 
+ANSWERS = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("step", pa.int64()), ("seg", pa.int32()), ("ul", pa.binary()), ("bl", pa.binary())])
+
+
+def answer(share: int | None = None):
+    """Exact unigram counts, and the levels of each step's n-grams from the segment's filter."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = {k: [np.cumsum(unplaned(x, "<u8")) for x in group.column(k).to_pylist()] for k in ("uk", "bk")}
+        counts = {k: [unplaned(x, "<u4") for x in group.column(k).to_pylist()] for k in ("uc", "bc")}
+        raw = {k: [np.concatenate(x).tobytes()] for k, x in (asked | counts).items()}
+        model = build(share)(pa.table({"seg": group.column("seg").slice(0, 1)} | {k: pa.array(x, pa.binary()) for k, x in raw.items()}))
+        last = model.slice(len(model) - 1).to_pylist()[0]
+        counted = model.slice(0, len(model) - 1)
+        probe = Filter(*joined([(0, last["bits"], last["c"], last["probes"], last["base"])], 1))
+        levels = []
+        for k in ("uk", "bk"):
+            keys, back = np.unique(np.concatenate(asked[k]), return_inverse=True)
+            lv = probe.levels(keys).astype(np.uint8)[back]
+            ends = np.cumsum([len(x) for x in asked[k]])
+            levels.append([lv[b - len(x) : b].tobytes() for x, b in zip(asked[k], ends, strict=True)])
+        n, m = len(counted), len(group)
+        columns = [(counted.column("key"), pa.nulls(m, pa.int64())), (counted.column("c"), pa.nulls(m, pa.int64())), (pa.nulls(n, pa.int64()), group.column("step")), (pa.nulls(n, pa.int32()), group.column("seg")), *((pa.nulls(n, pa.binary()), pa.array(x, pa.binary())) for x in levels)]
+        return pa.Table.from_arrays([pa.chunked_array([c for part in parts for c in (part.chunks if isinstance(part, pa.ChunkedArray) else [part])], f.type) for f, parts in zip(ANSWERS, columns, strict=True)], schema=ANSWERS).combine_chunks()
+
+    return run
+
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
 
 def score(shared, total: int, distinct: int, mu: float):
-    def run(batches):
-        parts, head, head_n = shared.value
-        model = Filter(*parts)
+    """Scores a step's texts with the levels that its n-grams' owners sent."""
+
+    def run(held: pa.Table, levels: pa.Table) -> pa.Table:
+        head, head_n = shared.value
         zero = total + 0.5 * (distinct + 1)
-        for batch, raw in steps(batches):
-            t, before, first = tokens(raw)
-            words, back = np.unique(t, return_inverse=True)
-            at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
-            known = head[at] == words if len(head) else np.zeros(len(words), bool)
-            logs = np.log10((np.where(known, head_n[at] if len(head) else 0, 0) + 0.5) / zero)
-            c1 = count_of(model.levels(words))
-            p1 = (c1 + 0.5) / zero
-            pairs, pair_back = np.unique(bigrams(t, before), return_inverse=True)
-            c2 = count_of(model.levels(pairs))[pair_back]
-            before_n = np.empty(len(t))
-            before_n[1:] = c1[back[:-1]]
-            before_n[first[:-1]] = count_of(model.levels(mix(np.array([END]))))[0]  # as many starts as ends
-            p = (np.minimum(c2, before_n) + mu * p1[back]) / (before_n + mu)
-            held = known[back]
-            rare = t[~held].view(np.int64)
-            cut = np.append(0, np.cumsum(~held))[first].astype(np.int32)
-            yield batch_of(SCORED, {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": np.diff(first), "known": np.add.reduceat(held.astype(np.int64), first[:-1]), "base": np.add.reduceat(logs[back], first[:-1]), "score": np.add.reduceat(np.log10(p), first[:-1]), "rare": pa.ListArray.from_arrays(cut, rare)})
+        seg = np.argsort(levels.column("seg").to_numpy())  # segments are in the order of keys
+        got = levels.take(pa.array(seg))
+        c_words, c_pairs = (count_of(np.frombuffer(b"".join(got.column(k).to_pylist()), np.uint8).astype(np.int64)) for k in ("ul", "bl"))
+        t, before, first = tokens(held.column("text")[0].as_py())
+        words, back = np.unique(t, return_inverse=True)
+        at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
+        known = head[at] == words if len(head) else np.zeros(len(words), bool)
+        logs = np.log10((np.where(known, head_n[at] if len(head) else 0, 0) + 0.5) / zero)
+        p1 = (c_words + 0.5) / zero
+        _, pair_back = np.unique(bigrams(t, before), return_inverse=True)
+        before_n = np.empty(len(t))
+        before_n[1:] = c_words[back[:-1]]
+        before_n[first[:-1]] = c_words[back[-1]]  # as many starts as ends
+        p = (np.minimum(c_pairs[pair_back], before_n) + mu * p1[back]) / (before_n + mu)
+        held_known = known[back]
+        rare = t[~held_known].view(np.int64)
+        cut = np.append(0, np.cumsum(~held_known))[first].astype(np.int32)
+        out = {"doc_id": held.column("doc_id")[0].as_py(), "held_out": held.column("held_out")[0].as_py(), "n_tokens": np.diff(first), "known": np.add.reduceat(held_known.astype(np.int64), first[:-1]), "base": np.add.reduceat(logs[back], first[:-1]), "score": np.add.reduceat(np.log10(p), first[:-1]), "rare": pa.ListArray.from_arrays(cut, rare)}
+        return pa.Table.from_batches([batch_of(SCORED, out)])
 
     return run
 
 
-def lm_scores(docs: DataFrame, remainder: int = 1, mu: float = MU, max_filter: int = MAX_FILTER) -> DataFrame:
+def lm_scores(docs: DataFrame, remainder: int = 1, mu: float = MU, max_filter: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of ``docs``.
 
     Learns from rows whose ``crc32(doc_id as text) mod 5`` isn't ``remainder``; a null
     doc_id isn't held out.  Null and empty texts have the end token only.  Without
     training rows all counts are 0.  Rows that share a doc_id are scored each for
-    itself.  Other columns are ignored.
+    itself.  Other columns are ignored.  With ``max_filter``, all filters together have
+    at most so many bytes, and low counts are lost where that is too little.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lmscore")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
-    train = docs.filter(~F.col("held_out")).select("text")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(16, -(-size // SEGMENT))
-    packed = train.mapInArrow(count(segments), "seg int, uk binary, uc binary, bk binary, bc binary")
-    model = scratch.keep(packed.groupBy("seg").applyInArrow(build(8 * max_filter // segments), "seg int, key long, c long, bits binary, probes int, base int"))
+    held = scratch.keep(docs.mapInArrow(together, "step long, doc_id array<long>, held_out array<boolean>, text array<binary>"))
+    packed = held.mapInArrow(count(segments), "step long, seg int, uk binary, uc binary, bk binary, bc binary")
+    share = None if max_filter is None else 8 * max_filter // segments
+    model = scratch.keep(packed.groupBy("seg").applyInArrow(answer(share), "key long, c long, step long, seg int, ul binary, bl binary"))
     counts = model.filter("key is not null").select("key", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("c"), "key").limit(HEAD).toArrow()
     keys, n = head.column("key").to_numpy().view(U64), head.column("c").to_numpy()
     order = np.argsort(keys)
-    rows = [tuple(r) for r in model.filter("key is null").select("seg", "bits", F.col("c").alias("size"), "probes", "base").collect()]  # at most max_filter bytes
-    shared = spark.sparkContext.broadcast((joined(rows, segments), keys[order], n[order]))  # plain values: pickled by reference to numpy alone
-    scored = scratch.keep(docs.mapInArrow(score(shared, total, distinct, mu), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
+    shared = spark.sparkContext.broadcast((keys[order], n[order]))
+    levels = model.filter("step is not null").select("step", "seg", "ul", "bl")
+    scored = held.groupBy("step").cogroup(levels.groupBy("step")).applyInArrow(score(shared, total, distinct, mu), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+    scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()))
+    scratch.drop(held)
     rare = scored.select("row", F.explode("rare").alias("key"))
     more = rare.join(counts, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / 0.5)).alias("gain"))
     out = scored.drop("rare").join(more, "row", "left")

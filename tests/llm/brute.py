@@ -80,3 +80,17 @@ def base_scores(docs, remainder=1):
     c = Counter(t for i, ts in tokens.items() if not held[i] for t in ts)
     total, kinds = sum(c.values()), len(c)
     return {i: (held[i], len(ts), sum(t in c for t in ts), total, sum(log10((c[t] + 0.5) / (total + 0.5 * (kinds + 1))) for t in ts)) for i, ts in tokens.items()}
+
+
+def scores(docs, quantised, mu, remainder=1):
+    tokens = {i: [*WORD.findall(low(t)), None] for i, t in docs}
+    train = [ts for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 5 != remainder]
+    one = Counter(t for ts in train for t in ts)
+    two = Counter(p for ts in train for p in zip([None, *ts], ts))  # noqa: B905
+    zero = sum(one.values()) + 0.5 * (len(one) + 1)
+
+    def p(v, w):
+        n = quantised(one[v])
+        return (min(quantised(two[v, w]), n) + mu * (quantised(one[w]) + 0.5) / zero) / (n + mu)
+
+    return {i: sum(log10(p(v, w)) for v, w in zip([None, *ts], ts)) for i, ts in tokens.items()}  # noqa: B905

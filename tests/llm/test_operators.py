@@ -229,6 +229,35 @@ def test_lm_filter_levels():
     assert r["base"] > 0 and r["c"] <= 60_064 and small.levels(keys[counts > 20]).min() > r["base"]
 
 
+def test_lm_filter_holds_every_count():
+    """However many n-grams a segment gets, the filter grows and none is thrown out."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 2**63, 300_000).astype(np.uint64))
+    counts = np.where(np.arange(len(keys)) % 3 == 2, 0, 1 + np.arange(len(keys)) % 3)
+    parts = [slice(i, None, 4) for i in range(4)]
+    group = {"step": list(range(4)), "seg": pa.array([0] * 4, pa.int32())}
+    group |= {"uk": [lmscore.planes(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], "uc": [lmscore.planes(counts[p].astype("<u4")) for p in parts], "bk": [b""] * 4, "bc": [b""] * 4}
+    got = lmscore.answer()(pa.table(group)).to_pylist()
+    assert {r["key"]: r["c"] for r in got if r["step"] is None} == {int(k): int(c) for k, c in zip(keys, counts, strict=True) if c}
+    for r in got[-4:]:
+        level = np.frombuffer(r["ul"], np.uint8)
+        want = np.where(counts[parts[r["step"]]] > 0, lmscore.level(counts[parts[r["step"]]]), 0)
+        assert (level >= want).all() and (level == want).mean() > 0.98
+
+
+@pytest.mark.parametrize("size", [1 << 20, 3000])
+def test_lm_scores(plain, documents, size, monkeypatch):
+    """Scores of the quantised counts, but for the few false positives, with any number of steps and segments."""
+    monkeypatch.setattr(lmscore, "SEGMENT", size)
+    monkeypatch.setattr(lmscore, "TOGETHER", size)
+    got = by_id(lmscore.lm_scores(plain), "score")
+    want = brute.scores(documents, lambda c: float(lmscore.count_of(lmscore.level(np.array([c])))[0]) if c else 0.0, lmscore.MU)
+    off = np.array([got[i][0] / want[i] - 1 for i in want])
+    assert np.abs(off).mean() < 0.005 and np.abs(off).max() < 0.1
+
+
 def test_lm_edges(spark, clashing, documents):
     got = lmscore.lm_scores(clashing)
     assert got.count() == len(documents) + 4 and got.filter("base_score is null or score is null").count() == 0
