@@ -1,9 +1,9 @@
 """The corpus pipeline: stages that filter and clean documents, then pack them.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns
-a DataFrame with the columns of ``docs``, the last one the packed pieces.  A row
-whose doc_id is null can't be judged by id and stays; rows that share a doc_id
-stay or go together.
+a DataFrame with the columns of ``docs``, the last one the packed pieces.  Stages
+that drop rows give each row a key of its own, so rows without a doc_id and rows
+that share one are judged each for itself.
 """
 
 from __future__ import annotations
@@ -15,19 +15,40 @@ from gridloom.llm import decontaminate, minhash, packing, quality, suffix
 from gridloom.llm.common import Scratch, table
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key in a column of a new name; written, so that the key is the same whenever it is read."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return Scratch(spark, "keyed").keep(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their key for a doc_id."""
+    return rows.drop("doc_id").withColumnRenamed(key, "doc_id")
+
+
+def without(rows: DataFrame, key: str, judged: DataFrame) -> DataFrame:
+    """``rows`` but for those whose key is the doc_id of a row in ``judged``."""
+    return rows.join(judged.select(F.col("doc_id").alias(key)), key, "left_anti").drop(key)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go; it trusts the documents with good labels."""
-    judged = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return without(docs, judged.filter(~F.col("keep")))
+    rows, key = keyed(spark, docs)
+    trusted = rows.join(quality.trusted_ids(table(spark, sf_dir, "labels")), "doc_id", "left_semi").select(F.col(key).alias("doc_id"))
+    judged = quality.classify(by_key(rows, key), trusted)
+    return without(rows, key, judged.filter(~F.col("keep"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    return without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    """One row of each group of near duplicates stays: one with the smallest doc_id, without any only if none has one."""
+    rows, key = keyed(spark, docs)
+    groups = minhash.near_duplicates(by_key(rows, key)).select(F.col("doc_id").alias(key), F.col("component_id").alias("component"))
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("key")))
+    kept = groups.join(ids, key).groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +67,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    rows, key = keyed(spark, docs)
+    judged = decontaminate.decontaminate(by_key(rows, key), table(spark, sf_dir, "benchmark"))
+    return without(rows, key, judged.filter("contaminated")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

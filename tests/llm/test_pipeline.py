@@ -49,3 +49,29 @@ def test_null_and_empty(spark, clashing):
     for _, stage in pipeline.STAGES[:-1]:
         odd = stage(spark, odd, DATA)
     assert odd.filter("text is null").count() == 2
+
+
+def test_rows_without_or_with_one_id(spark):
+    """Rows without a doc_id, or given twice, are judged each for itself."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages = dict(pipeline.STAGES)
+
+    def nameless(df):
+        return df.withColumn("doc_id", pipeline.F.lit(None).cast(docs.schema["doc_id"].dataType)).select(docs.columns)
+
+    judged = stages["quality_classifier"](spark, docs, DATA).persist()
+    bad = docs.join(judged, "doc_id", "left_anti")
+    assert bad.count() > 0
+    left = stages["quality_classifier"](spark, docs.union(nameless(bad)), DATA)
+    assert left.filter("doc_id is null").count() == 0 and left.count() == judged.count()
+
+    some = docs.filter("length(text) > 200").orderBy("doc_id").limit(20)
+    once = stages["minhash_near_dedup"](spark, some, DATA)
+    more = stages["minhash_near_dedup"](spark, nameless(some).union(some).union(some), DATA)
+    assert sorted(texts(more)) == sorted(texts(once))
+    alone = stages["minhash_near_dedup"](spark, nameless(some).union(nameless(some)), DATA)
+    assert alone.count() == once.count() and alone.filter("doc_id is not null").count() == 0
+
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("text").limit(3)
+    leaks = items.selectExpr(*[f"cast({'text' if c == 'text' else 'null'} as {t}) as {c}" for c, t in docs.dtypes])
+    assert stages["benchmark_decontamination"](spark, leaks, DATA).count() == 0
