@@ -24,7 +24,7 @@ from .common import LOWER, Scratch, batch_of, held_out, steps, table
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 512
-#: Training uses about this many labelled documents, chosen by a hash of their text.
+#: Training uses about this many labelled documents, of each language as many as another or all it has.
 SAMPLE = 200_000
 ALPHA, PENALTY, ROUNDS = 0.5, 4.0, 6
 
@@ -150,26 +150,42 @@ def predict(shared):
     return run
 
 
+def most_of_each(sizes: list[int], sample: int) -> int:
+    """The greatest m so that ``min(size, m)`` summed over the languages is at most ``sample``; 1 at least."""
+    left = sample
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max(sizes, default=1)
+
+
 def identify(docs: DataFrame, remainder: int = 0, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages), one row a row of ``docs``.
 
     ``languages``: the selected set with proportions, largest first; ``score`` is the
     largest proportion.  Learns from text and lang where both are given and
     ``crc32(doc_id as text) mod 5`` isn't ``remainder`` (a null doc_id isn't held
-    out), on about ``sample`` documents.  Null text, text without a letter, and
+    out), on about ``sample`` documents, all of a language's where it has few.  Null text, text without a letter, and
     every text if nothing was learned, is ``und`` with score 0.  Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "langid")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), remainder).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    train = docs.filter("not held_out and lang is not null and text is not null").select("text", "lang")
-    labelled = train.count()
-    if labelled > sample:
-        train = train.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / labelled))
-    counts = scratch.keep(train.mapInArrow(learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    train = docs.filter("not held_out and lang is not null and text is not null").select("doc_id", "text", "lang")
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
+    if sum(sizes.values()) > sample:
+        most, steps_of = most_of_each(list(sizes.values()), sample), 1_000_000_007
+        train = train.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps_of)))
+        least = {r.lang: r.least for r in train.groupBy("lang").agg(F.min("place").alias("least")).collect()}
+        # the least place is always in: no language is left without a document
+        upto = spark.createDataFrame([(lang, max(int(steps_of * min(1.0, most / n)), least[lang] + 1)) for lang, n in sizes.items()], "lang string, upto long")
+        train = train.join(F.broadcast(upto), "lang").filter("place < upto")
+    train = train.select("text", "lang")
+    counts = scratch.keep(train.mapInArrow(learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     model = np.full((BUCKETS, max(len(langs), 1)), ALPHA)
     got = counts.toArrow()  # at most MAX_LANGUAGES * BUCKETS rows
     if len(got):

@@ -283,6 +283,15 @@ def test_language(spark, clashing, documents):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_sample_keeps_every_language(spark):
+    """A sample holds each language's documents, if they are few, and is bounded with many copies of one text."""
+    rows = [(i, "the same words again and again", "en") for i in range(3000)] + [(5000 + i, f"zażółć gęślą jaźń {i}", "pl") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(langid.identify(df, sample=100), "lang_pred")
+    assert {got[5000 + i] for i in range(4)} == {("pl",)} and got[0] == ("en",)
+    assert langid.most_of_each([3000, 4, 50], 100) == 48 and langid.most_of_each([3, 4], 100) == 4
+
+
 def test_quality(spark, clashing, documents):
     got = quality.op4_quality_classifier(spark, DATA)
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
