@@ -233,3 +233,44 @@ def shingles(w: Words, width: int) -> list[np.ndarray]:
             else:
                 out.append(np.empty(0, U64))
     return out
+
+
+# --- packed arrays --------------------------------------------------------
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    if counts is None:
+        keys = np.sort(keys)
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[at], np.diff(np.append(at, len(keys)))
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.add.reduceat(counts[order].astype(np.int64), at)
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (((keys >> U64(32)) * U64(segments)) >> U64(32)).astype(np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, ...: a codec packs the high ones."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind).ravel()
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array's planes by zstd, after their length."""
+    raw = planes(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, kind: str) -> np.ndarray:
+    return unplaned(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)

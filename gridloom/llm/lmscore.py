@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, Words, batch_of, held_out, mix, steps, table
+from .common import GOLDEN, U64, Scratch, Words, batch_of, held_out, mix, planes, segment_of, steps, summed, table, unplaned
 
 MIN_BITS, BITS = 6, 12
 HEAD = 100_000
@@ -58,24 +58,6 @@ def bigrams(t: np.ndarray, before: np.ndarray) -> np.ndarray:
         return mix(before * U64(0xD6E8FEB86659FD93) + t + GOLDEN)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    if not len(keys):
-        return keys, np.empty(0, np.int64)
-    if counts is None:
-        keys = np.sort(keys)
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[at], np.diff(np.append(at, len(keys)))
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], np.add.reduceat(counts[order].astype(np.int64), at)
-
-
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (((keys >> U64(32)) * U64(segments)) >> U64(32)).astype(np.int64)
-
-
 HELD = pa.schema([("step", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("text", pa.list_(pa.binary()))])
 
 
@@ -96,16 +78,6 @@ def trained(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every, counts
 
 
-def planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second bytes, ...: the shuffle's codec packs the high ones."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def unplaned(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T.copy().view(kind).ravel()
-
-
 PACKED = pa.schema([("step", pa.int64()), ("seg", pa.int32()), ("uk", pa.binary()), ("uc", pa.binary()), ("bk", pa.binary()), ("bc", pa.binary())])
 
 

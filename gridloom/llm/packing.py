@@ -18,8 +18,10 @@ holds a third of all pieces is no single task.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,40 +45,68 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Characters that are encoded at once; a longer text is cut before a lone space, where byte-level BPE always splits.
+TOGETHER = 1 << 20
+_LONE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str, size: int | None = None) -> Iterator[str]:
+    size = size or TOGETHER
+    at = 0
+    while len(text) - at > size and (cut := _LONE.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by the `tokenizers` file at ``path``.
+    """Token ids of texts as `tokenizers` gives them by the file at ``path``, without special tokens added.
 
     A byte-level BPE file whose ids are its merges' order gives the same ids by its ranks
-    in `tiktoken`, three times as fast; any other file is used by `tokenizers`
-    itself.  Special tokens' strings in a text are ordinary text.
+    in `tiktoken`, three times as fast; texts that hold the string of a special token, and
+    any other file, are left to `tokenizers` itself.  Byte-level BPE encodes a long text in
+    parts of bounded size; other kinds of files take a text as a whole.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         vocab, merges = model["vocab"], [m.split(" ", 1) if isinstance(m, str) else m for m in model.get("merges") or []]
-        plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        plain = plain and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        bytewise = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+        plain = bytewise and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.path, self.slow = path, None
+        self.special = [t["content"] for t in added]
+        self.cuts = bytewise and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in added)
+        names = vocab if isinstance(vocab, dict) else {t: i for i, (t, _) in enumerate(vocab)}
+        letters = byte_letters()
+        white = {c for c, b in letters.items() if b in b" \t\n\r"} | {"\u2581"}
+        #: Whether the token of an id begins with white space.
+        self.begins = np.zeros(max([*names.values(), *(t["id"] for t in added)], default=0) + 1, bool)
+        self.begins[[i for t, i in names.items() if t[:1] in white]] = True
+        self.quick = None
         if plain and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             import tiktoken
 
-            letters, special = byte_letters(), {t["content"] for t in spec.get("added_tokens", ())}
-            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
-            encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in set(self.special)}
+            self.quick = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+    def exact(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-            def encode(text):
-                return tokenizer.encode(text, add_special_tokens=False).ids
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
-        self.ids = encode
+    def parts(self, text: str) -> Iterator[array]:
+        """The ids of a text, part by part."""
+        run = self.exact if self.quick is None or any(x in text for x in self.special) else self.quick
+        for part in parts(text) if self.cuts else [text]:
+            yield array("I", run(part))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.ids(x)).tobytes() for x in texts]
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        return [b"".join(x.tobytes() for x in self.parts(text)) for text in texts]
 
 
 def default_vocabulary() -> str:
@@ -206,22 +236,26 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     ``ids`` are little-endian unsigned 32-bit ids, or without ``with_ids`` their
     big-endian CRC-32.  Null and empty texts are one piece of the end id.  Rows
-    that share a doc_id, or have none, are packed as documents of their own.  Other
-    columns are ignored.
+    that share a doc_id, or have none, are packed as documents of their own.  Pieces of
+    one length are interchangeable: which takes which place follows the order of reading.
+    A text that holds a special token's string gets that token's id, as from
+    `tokenizers`; very long texts are encoded in parts.  Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.keep(docs.mapInArrow(cut(vocabulary, capacity, end, with_ids), "doc_id long, piece int, start long, length long, ids binary"), "lz4")
+    pieces = docs.mapInArrow(cut(vocabulary, capacity, end, with_ids), "doc_id long, piece int, start long, length long, ids binary")
+    # a number of its own spreads pieces that share a doc_id or have none
+    pieces = scratch.keep(pieces.withColumn("row", F.monotonically_increasing_id()), "lz4")
     buckets = max(64, -(-pieces.count() // GROUP))
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("bucket")
+    key = F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket")
     counts = pieces.groupBy("length", key).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = scratch.keep(counts.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))))
     # one row a length at most comes to the driver
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments = slots(plan(histogram, capacity), capacity)
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row"))
     ranked = pieces.withColumn("bucket", key).withColumn("within", within).join(counts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("within") - 1).alias("rank"))
     return ranked.mapInArrow(assign(segments), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
@@ -233,4 +267,5 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op1_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each piece of ``documents``; cases as in ``pack``."""
     return digests(pack(table(spark, sf_dir, "documents"), with_ids=False))

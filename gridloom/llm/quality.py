@@ -1,138 +1,409 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Tokens are word signatures: letters become ``A`` or ``a`` by case, digits ``9``, other
-characters stay; equal neighbours are one; runs of mixed letters and digits
-are ``x``; a line break is a token.  They tell prose
-from lists, shouting, markup and noise in any language, and a document has few
-distinct trigrams of them, so its counts can be joined instead of its text.  One
-more token class, ``=``, stands for a word that repeats the word before.
-
-1. Per document: counts of its distinct trigrams (with start and end marks).
-2. Trusted documents' trigrams are summed; continuation counts of bigrams and
-   unigrams, the three discounts of each order and the contexts' back-off weights
-   follow by aggregation.
-3. The corpus's distinct trigrams are joined, by shards of their keys, with the model's
-   counts of each order, and get one interpolated probability each.
-4. These are joined back with the documents' counts: perplexity per token.
+Tokens are byte-level BPE tokens of the given vocabulary: frequent words are one token,
+rare and invented ones are spelled out, so no word is unknown.  A word that equals the
+word before it becomes one mark, which is predicted like a token but is no context: a
+hundredth repetition is as unlikely as the first one.
+
+Documents are dealt into two halves by a hash of their text.  Each half has a model,
+trained on its trusted documents, and is judged by the other half's model: no document,
+and no exact copy of one, is judged by a model that has seen it, and the thresholds
+come from perplexities of the same kind as those they are applied to.
+
+1. Texts become steps of about ``TOGETHER`` bytes of tokens, written once, bucketed by
+   step.  Very long texts are several parts, each with the two tokens before it.
+2. A step's distinct trigrams (a, b, c) go, with their counts in its trusted texts (0:
+   only asked for), packed, to the shard of (b, c): a frequent token is spread over
+   shards by its neighbours.  The shard adds up counts, takes the continuation
+   counts of its bigrams (b, c), and sends both back for what the other half's steps ask.
+3. Sums by context (a, b) meet in the shards of (a, b) and answer what the steps ask
+   for.  Sums by token (continuation counts of c, totals of b) are one row a token of the
+   vocabulary, and are broadcast.
+4. A step meets its answers and gets one probability a distinct trigram:
+   P(c|ab) = (c(abc) - D) / c(ab) + weight(ab) * P(c|b), and so on down to a uniform share.
+   Documents get log probability, number of tokens and so their perplexity.
 5. Few tokens say little, so a document counts as if it had ``PRIOR`` more tokens of the
    trusted documents' mean log probability.  It is kept if this steadied perplexity is
    at most its language's threshold: the ``QUANTILE`` of the trusted documents'
    steadied perplexities in that language (of all trusted documents if the language
-   has fewer than ``LEAST``), times ``SLACK``.
+   has fewer than ``LEAST``).
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import uuid
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, steps, table
-
-QUANTILE, SLACK, LEAST, PRIOR = 0.995, 2.0, 30, 12
-#: Languages whose thresholds are broadcast.
-MAX_LANGUAGES = 10_000
-
-COUNTED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("tokens", pa.int64()), ("grams", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64())])))])
-
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_LOWER = re.compile(r"[a-zß-öø-ɏªµº]+")
-_DIGIT = re.compile(r"[0-9]+")
-_OTHER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þa-zß-öø-ɏªµº]+")
-_MIXED = re.compile(r"[Aa]*9(?:[Aa]+9)+[Aa]*")
-_TWICE = re.compile(r"([^\w\s])\1+")
-_BREAK = re.compile(r"[ \t\r\f\v]*\n\s*")
-#: A signature is cut here; longer ones are as rare as each other.
-WIDTH = 12
-
-
-def signatures(text: str) -> list[str]:
-    words = _BREAK.sub(" \n ", text).split(" ")
-    shape = _OTHER.sub("a", _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", " ".join(words)))))
-    shapes = _TWICE.sub(r"\1", _MIXED.sub("x", shape)).split(" ")
-    out, before = [], None
-    for w, s in zip(words, shapes, strict=True):
-        if s:
-            out.append("=" if w == before and w != "\n" else s[:WIDTH])
-            before = w
-    return out
+from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, segment_of, slices, squeezed, summed, table, unsqueezed
+from .packing import Encoder, default_vocabulary
+
+QUANTILE, LEAST, PRIOR = 0.998, 60, 40
+#: Languages whose thresholds are broadcast; trusted ids that are.
+MAX_LANGUAGES, MAX_IDS = 10_000, 1_000_000
+#: Tokens of a step, about; text bytes for a shard, about.
+TOGETHER, SHARD = 3 << 20, 32 << 20
+
+#: A trigram is one integer of three tokens; the last token numbers are marks.
+BITS = 21
+MASK = U64((1 << BITS) - 1)
+START, END, AGAIN = ((1 << BITS) - i for i in (1, 2, 3))
+
+
+def marked(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The tokens with each word that equals the word before it as one mark; a word begins with white space."""
+    if len(ids) < 2:
+        return ids
+    begin = begins[ids]
+    begin[0] = True
+    at = np.flatnonzero(begin)
+    width = np.diff(np.append(at, len(ids)))
+    place = np.arange(len(ids)) - np.repeat(at, width)
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(mix(ids.astype(U64) + GOLDEN) * odd_powers(int(width.max()))[place], at)
+    again = np.append(False, (h[1:] == h[:-1]) & (width[1:] == width[:-1]))
+    if not again.any():
+        return ids
+    keep = np.repeat(~again, width)
+    keep[at] = True
+    out = ids.copy()
+    out[at[again]] = AGAIN
+    return out[keep]
+
+
+def tokens(encoder: Encoder, text: str):
+    """The text's tokens with an end mark, in parts of bounded size."""
+    held = np.empty(0, "<u4")
+    for part in encoder.parts(text):
+        if len(held):
+            yield held
+        held = marked(np.frombuffer(part, "<u4"), encoder.begins)
+    yield np.append(held, END).astype("<u4")
+
+
+ABOUT = {"row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "trusted": pa.bool_(), "size": pa.int32()}
+HELD = pa.schema([("step", pa.int64()), ("half", pa.int32()), *[(k, pa.list_(v)) for k, v in ABOUT.items()], ("ids", pa.binary())])
+HELD_SQL = "step long, half int, row array<long>, doc_id array<long>, lang array<string>, trusted array<boolean>, size array<int>, ids binary"
+
+
+def together(vocabulary: str | None, limit: int):
+    """Texts' tokens in steps, each of one half; every part has the two tokens before it in front."""
+
+    def run(batches):
+        encoder = Encoder(vocabulary or default_vocabulary())
+        if len(encoder.begins) > AGAIN:
+            raise ValueError(f"a vocabulary of at most {AGAIN} tokens is needed")
+        task, n = TaskContext.get().partitionId(), 0
+        held = [({k: [] for k in ABOUT}, []) for _ in range(2)]
+
+        def step(half):
+            about, ids = held[half]
+            held[half] = ({k: [] for k in ABOUT}, [])
+            return batch_of(HELD, {"step": [(task << 32) + n], "half": [half], "ids": [squeezed(np.concatenate(ids))]} | {k: [v] for k, v in about.items()})
+
+        for batch in slices(batches):
+            for row, doc, lang, trusted, half, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "lang", "trusted", "half", "text")), strict=True):
+                before = np.array([START, START], "<u4")
+                for part in tokens(encoder, text):
+                    about, ids = held[half]
+                    ids += [before, part]
+                    for k, v in zip(ABOUT, (row, doc, lang, trusted, len(part) + 2), strict=True):
+                        about[k].append(v)
+                    before = np.append(before, part[part != AGAIN][-2:])[-2:]
+                    if sum(about["size"][-64:]) > limit or len(about["size"]) % 64 == 0 and sum(about["size"]) > limit:
+                        yield step(half)
+                        n += 1
+        for half in range(2):
+            if held[half][1]:
+                yield step(half)
+                n += 1
+
+    return run
+
+
+def trigrams(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram that ends at each token, as b, c, a from the highest bits on, and the token's part; marks of repetition are no context."""
+    x = unsqueezed(row["ids"], "<u4").astype(U64)
+    part = np.repeat(np.arange(len(row["size"])), row["size"])
+    inside = np.append([False, False], part[2:] == part[:-2])
+    word = x != U64(AGAIN)
+    before = (np.cumsum(word) - word)[inside]  # words before the token, of which there are two in its part
+    y = x[word]
+    return (y[before - 1] << U64(2 * BITS)) | (x[inside] << U64(BITS)) | y[before - 2], part[inside]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def bigrams_of(keys: np.ndarray) -> np.ndarray:
+    """The distinct (b, c) of sorted trigrams."""
+    return distinct(keys >> U64(BITS))
+
+
+def contexts_of(keys: np.ndarray) -> np.ndarray:
+    """The (a, b) of trigrams."""
+    return ((keys & MASK) << U64(BITS)) | (keys >> U64(2 * BITS))
+
+
+def dealt(pairs: np.ndarray, shards: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shard of sorted distinct pairs, or of the sorted trigrams ``keys`` of these pairs, and each shard's first place."""
+    shard = segment_of(mix(pairs + GOLDEN), shards)
+    if keys is not None:
+        shard = shard[np.cumsum(np.append(False, keys[1:] >> U64(BITS) != keys[:-1] >> U64(BITS)))] if len(keys) else shard
+    shard = shard.astype(np.uint16 if shards < 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1).astype(shard.dtype) if shards < 1 << 16 else np.arange(shards + 1))
+
+
+SENT = pa.schema([("kind", pa.int32()), ("half", pa.int32()), ("shard", pa.int32()), ("step", pa.int64()), ("data", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+SENT_SQL = "kind int, half int, shard int, step long, data array<binary>, sums array<long>"
+ASKED, CONTEXT, TOKEN, SUMS = range(4)
+
+
+def sent(rows: list[tuple]) -> pa.RecordBatch:
+    return batch_of(SENT, {f.name: [r[i] for r in rows] for i, f in enumerate(SENT)})
+
+
+def ask_trigrams(shards: int):
+    """Each step's distinct trigrams (as differences) with their counts in trusted texts, by shard of (b, c)."""
+
+    def run(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                keys, part = trigrams(row)
+                train = keys[np.array(row["trusted"], bool)[part]]
+                keys, (known, n) = distinct(np.sort(keys)), summed(train)
+                counts = np.zeros(len(keys), "<u4")
+                counts[np.searchsorted(keys, known)] = n
+                order, cut = dealt(bigrams_of(keys), shards, keys)
+                keys, counts = keys[order], counts[order]
+                yield sent([(ASKED, row["half"], s, row["step"], [squeezed(np.diff(keys[a:b], prepend=U64(0))), squeezed(counts[a:b])], None) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a])
+
+    return run
 
 
-def gram_counts(batches):
-    for batch, raw in steps(batches):
-        sizes, grams = [], []
-        for x in raw:
-            t = signatures(x.decode("utf-8", "replace"))
-            t = ["<s>", "<s>", *t, "</s>"]
-            sizes.append(len(t) - 2)
-            grams.append([{"a": a, "b": b, "c": c, "n": n} for (a, b, c), n in Counter(zip(t, t[1:], t[2:])).items()])
-        yield batch_of(COUNTED, {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "tokens": sizes, "grams": grams})
+def ask_contexts(shards: int):
+    """Each step's distinct (a, b), by shard."""
 
+    def run(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                pairs = distinct(np.sort(contexts_of(trigrams(row)[0])))
+                order, cut = dealt(pairs, shards)
+                pairs = pairs[order]
+                yield sent([(ASKED, row["half"], s, row["step"], [squeezed(np.diff(pairs[a:b], prepend=U64(0)))], None) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a])
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
+    return run
+
+
+def looked_up(keys: np.ndarray, values: list[np.ndarray], asked: np.ndarray) -> list[np.ndarray]:
+    """Each asked key's values; 0 for a key that isn't there."""
+    if not len(keys):
+        return [np.zeros(len(asked), v.dtype) for v in values]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[at] == asked
+    return [np.where(hit, v[at], 0).astype(v.dtype) for v in values]
+
+
+def classes(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct pairs with the sum of their counts, and how many are 1, 2, and more."""
+    order = np.argsort(pairs, kind="stable")
+    pairs, counts = pairs[order], counts[order].astype(np.int64)
+    at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(x, at) if len(at) else np.empty(0, np.int64) for x in (counts, *(np.asarray(c, np.int64) for c in (counts == 1, counts == 2, counts > 2)))]
+    return pairs[at], sums
+
+
+def of_counts(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].tolist()
+
+
+def owned(shards: int):
+    """Answers of a shard of (b, c): trigram and continuation counts; its part of the sums by context and by token."""
+
+    def run(group: pa.Table) -> pa.Table:
+        halves, steps_ = group.column("half").to_pylist(), group.column("step").to_pylist()
+        shard = group.column("shard")[0].as_py()
+        asked, counts = [], []
+        for d in group.column("data").to_pylist():
+            asked.append(np.cumsum(unsqueezed(d[0], "<u8")))
+            counts.append(unsqueezed(d[1], "<u4"))
+        out, model = [], []
+        for half in range(2):
+            own = [(k[n > 0], n[n > 0]) for k, n, h in zip(asked, counts, halves, strict=True) if h == half]
+            keys, n = summed(np.concatenate([k for k, _ in own] or [np.empty(0, U64)]), np.concatenate([n for _, n in own] or [np.empty(0, "<u4")]))
+            pairs, ways = summed(keys >> U64(BITS))
+            model.append((keys, n, pairs, ways))
+            context, sums = classes(contexts_of(keys), n)
+            order, cut = dealt(context, shards)
+            for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                if b > a:
+                    at = order[a:b]
+                    out.append((CONTEXT, half, s, None, [squeezed(np.diff(context[at], prepend=U64(0))), *(squeezed(x[at].astype("<u8")) for x in sums)], None))
+            first, sums = classes(pairs >> U64(BITS), ways)
+            last, many = summed(pairs & MASK)
+            names = np.union1d(first, last)
+            lines = np.stack([names.astype(np.int64), *looked_up(last, [many], names), *looked_up(first, sums, names)], axis=1)
+            out += [(TOKEN, half, None, None, None, line) for line in lines.tolist()]
+            out.append((SUMS, half, None, None, None, of_counts(n) + of_counts(ways)))
+        for k, half, step in zip(asked, halves, steps_, strict=True):
+            keys, n, pairs, ways = model[1 - half]
+            (c3,) = looked_up(keys, [n], k)
+            (c2,) = looked_up(pairs, [ways], bigrams_of(k))
+            out.append((ASKED, half, shard, step, [squeezed(c3.astype("<u8")), squeezed(c2.astype("<u8"))], None))
+        return pa.Table.from_batches([sent(out)])
+
+    return run
+
+
+def summed_contexts(group: pa.Table) -> pa.Table:
+    """Answers of a shard of (a, b): total count, and how many trigrams have count 1, 2, and more."""
+    rows = group.to_pylist()
+    model = []
+    for half in range(2):
+        parts = [[np.cumsum(unsqueezed(r["data"][0], "<u8")), *(unsqueezed(x, "<u8").astype(np.int64) for x in r["data"][1:])] for r in rows if r["kind"] == CONTEXT and r["half"] == half]
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.empty(0, U64), *[np.empty(0, np.int64)] * 4]
+        order = np.argsort(columns[0], kind="stable")
+        keys = columns[0][order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        model.append((keys[at], [np.add.reduceat(x[order], at) if len(at) else x for x in columns[1:]]))
+    out = []
+    for r in rows:
+        if r["kind"] == ASKED:
+            got = looked_up(*model[1 - r["half"]], np.cumsum(unsqueezed(r["data"][0], "<u8")))
+            out.append((CONTEXT, r["half"], r["shard"], r["step"], [squeezed(x.astype("<u8")) for x in got], None))
+    return pa.Table.from_batches([sent(out)])
+
+
+def discounts(ones: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from how many n-grams have counts 1 to 4."""
-    got = {r.c: r.n for r in counts.filter("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    n1, n2, n3, n4 = (got.get(i, 0) for i in range(1, 5))
+    n1, n2, n3, n4 = ones
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = [i - (i + 1) * y * (m / n) if n else i * 0.5 for i, n, m in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
     return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))
 
 
-def discounted(counts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(n-gram, kept share) and (context, back-off weight) of one order."""
-    d1, d2, d3 = discounts(counts)
-    d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    context = counts.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(d).alias("gone")) if by else counts.agg(F.sum("c").alias("total"), F.sum(d).alias("gone"))
-    weight = context.select(*by, "total", (F.col("gone") / F.col("total")).alias("weight"))
-    return counts.withColumn("left", F.col("c") - d).drop("c"), weight
-
-
-def probabilities(grams: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, c, logp) of every distinct trigram of ``grams``, from the trusted counts (a, b, c, n)."""
-    tri = scratch.keep(trusted.groupBy("a", "b", "c").agg(F.sum("n").alias("c3")).withColumnRenamed("c", "z").withColumnRenamed("c3", "c"))
-    bi = scratch.keep(tri.groupBy("b", "z").agg(F.count("*").alias("c")))
-    uni = scratch.keep(bi.groupBy("z").agg(F.count("*").alias("c")))
-    left3, weight3 = discounted(tri, ["a", "b"])
-    left2, weight2 = discounted(bi, ["b"])
-    left1, weight1 = discounted(uni, [])
-    types = uni.count() + 1
-    total1, w1 = (weight1.first()[0] or 0), (weight1.first()[1] if types > 1 else 1.0)
-    p = grams.select("a", "b", F.col("c").alias("z")).distinct()
-    p = p.join(left1.withColumnRenamed("left", "l1"), "z", "left")
-    p = p.join(weight2.select("b", F.col("total").alias("t2"), F.col("weight").alias("w2")), "b", "left").join(left2.withColumnRenamed("left", "l2"), ["b", "z"], "left")
-    p = p.join(weight3.select("a", "b", F.col("total").alias("t3"), F.col("weight").alias("w3")), ["a", "b"], "left").join(left3.withColumnRenamed("left", "l3"), ["a", "b", "z"], "left")
-    zero = F.lit(0.0)
-    p1 = F.coalesce("l1", zero) / F.lit(float(total1 or 1)) + F.lit(float(w1)) / F.lit(float(types))
-    p2 = F.coalesce(F.col("l2") / F.col("t2"), zero) + F.coalesce("w2", F.lit(1.0)) * p1
-    p3 = F.coalesce(F.col("l3") / F.col("t3"), zero) + F.coalesce("w3", F.lit(1.0)) * p2
-    return p.select("a", "b", F.col("z").alias("c"), F.ln(p3).alias("logp"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR) -> DataFrame:
+def left(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """What counts keep after their discount."""
+    return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+
+
+def logs(keys, c3, c2, context, token, own) -> np.ndarray:
+    """The log probability of each of the sorted distinct trigrams.
+
+    ``c3``: their counts; ``c2``: continuation counts of their distinct (b, c); ``context``:
+    total and numbers of counts 1, 2, more of their distinct (a, b), by value; ``token``: by
+    token c1, t2, m1, m2, m3; ``own``: the discounts of the orders 3, 2, 1.
+    """
+    d3, d2, d1 = own
+    names, (c1, t2, *m) = token
+    pairs = bigrams_of(keys)
+    last, first = looked_up(names, [c1], pairs & MASK)[0], looked_up(names, [t2, *m], pairs >> U64(BITS))
+    total = max(int(c1.sum()), 1)
+    types = np.count_nonzero(c1) + 1
+    rest = sum(d * np.count_nonzero(x) for d, x in zip(d1, (c1 == 1, c1 == 2, c1 > 2), strict=True)) / total if types > 1 else 1.0
+    p1 = left(last, d1) / total + rest / types
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p2 = np.where(first[0] > 0, (left(c2, d2) + sum(d * x for d, x in zip(d2, first[1:], strict=True)) * p1) / first[0], p1)
+        lower = p2[np.searchsorted(pairs, keys >> U64(BITS))]
+        at = np.searchsorted(distinct(np.sort(contexts_of(keys))), contexts_of(keys))
+        total3, *n = (x[at] for x in context)
+        return np.log(np.where(total3 > 0, (left(c3, d3) + sum(d * x for d, x in zip(d3, n, strict=True)) * lower) / total3, lower))
+
+
+SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("tokens", pa.int64()), ("logp", pa.float64())])
+
+
+def score(shards: int, shared):
+    """Log probability of a step's parts, from what the shards have sent."""
+
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+        row, got = held.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        token, own = shared.value[1 - row["half"]]
+        every, part = trigrams(row)
+        order = np.argsort(every)
+        keys = every[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        keys = keys[new]
+
+        def back(kind, i, pairs, asked=None):
+            order, _ = dealt(pairs, shards, asked)
+            out = np.empty(len(order), np.int64)
+            out[order] = np.concatenate([unsqueezed(r["data"][i], "<u8") for r in got if r["kind"] == kind])
+            return out
+
+        pairs, around = bigrams_of(keys), distinct(np.sort(contexts_of(keys)))
+        p = logs(keys, back(ASKED, 0, pairs, keys), back(ASKED, 1, pairs), [back(CONTEXT, i, around) for i in range(4)], token, own)
+        by_place = np.empty(len(every))
+        by_place[order] = p[np.cumsum(new) - 1]
+        size = np.array(row["size"], np.int64) - 2
+        out = {k: row[k] for k in ("row", "doc_id", "lang", "trusted")} | {"tokens": size, "logp": np.add.reduceat(by_place, np.cumsum(size) - size)}
+        return pa.Table.from_batches([batch_of(SCORED, out)])
+
+    return run
+
+
+def models(sums: DataFrame) -> list[tuple]:
+    """Each half's sums by token and discounts; at most one row a token of the vocabulary and half comes to the driver."""
+    v = [F.sum(F.col("sums")[i]).alias(f"v{i}") for i in range(8)]
+    ones = {r.half: list(r)[1:] for r in sums.filter(f"kind = {SUMS}").groupBy("half").agg(*v).collect()}
+    each = sums.filter(f"kind = {TOKEN}").groupBy("half", F.col("sums")[0].alias("token")).agg(*v[1:6]).orderBy("half", "token").toArrow()
+    out = []
+    for half in range(2):
+        at = np.flatnonzero(each.column("half").to_numpy() == half)
+        names, *values = (each.column(i).to_numpy()[at].astype(np.int64) for i in range(1, 7))
+        n = ones.get(half, [0] * 8)
+        out.append(((names.view(U64), values), (discounts(n[:4]), discounts(n[4:]), discounts(of_counts(values[0])))))
+    return out
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, scratch: Scratch) -> DataFrame:
+    """(row, doc_id, lang, trusted, n_tokens, logp), one row a row of ``docs`` (doc_id, text, lang)."""
+    spark = docs.sparkSession
+    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+    good = scratch.keep(good)
+    docs = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("text", F.coalesce("text", F.lit("")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(16, -(-size // SHARD))
+    few = good.count() <= MAX_IDS  # else by shuffle
+    docs = docs.join(F.broadcast(good) if few else good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    # bucketed by step, so that meeting the answers doesn't shuffle the tokens again
+    name = f"quality_{uuid.uuid4().hex}"
+    docs.mapInArrow(together(vocabulary, TOGETHER), HELD_SQL).write.bucketBy(shards, "step").option("path", f"{scratch.top}/held").option("compression", "none").format("parquet").saveAsTable(name)
+    held = spark.table(name)
+    owner = scratch.keep(held.mapInArrow(ask_trigrams(shards), SENT_SQL).groupBy("shard").applyInArrow(owned(shards), SENT_SQL), "none")
+    shared = spark.sparkContext.broadcast(models(owner))
+    around = owner.filter(f"kind = {CONTEXT}").union(held.mapInArrow(ask_contexts(shards), SENT_SQL)).groupBy("shard").applyInArrow(summed_contexts, SENT_SQL)
+    answers = owner.filter(f"kind = {ASKED}").union(around)
+    scored = held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(score(shards, shared), "row long, doc_id long, lang string, trusted boolean, tokens long, logp double")
+    scored = scored.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.sum("tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
+    scored = scratch.keep(scored)
+    spark.sql(f"DROP TABLE {name}")
+    scratch.only(scored)
+    return scored
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR, vocabulary: str | None = None) -> DataFrame:
     """(row, doc_id, lang, n_tokens, perplexity, steadied, threshold, keep), one row a row of ``docs``.
 
-    ``trusted``: doc_ids of trusted documents.  Null and empty texts have the end mark
-    only.  A null lang, or one without enough trusted documents, takes the threshold of
-    all trusted documents.  With no trusted document, everything is kept and the
-    threshold is null.  Rows that share a doc_id are judged each for itself.
+    ``docs`` has doc_id, text and lang; other columns are ignored.  ``trusted``: doc_ids of
+    trusted documents, repeated ones count once.  ``vocabulary``: a file for `tokenizers`.
+    Null and empty texts have the end mark only.  A null lang, or one without enough
+    trusted documents, takes the threshold of all trusted documents; a perplexity equal
+    to the threshold is kept.  With no trusted document, everything is kept and the
+    threshold is null.  Rows that share a doc_id are judged each for itself.  Very long
+    texts are counted in parts, which doesn't change the result, but that a word repeated
+    over the border of two parts isn't marked as one.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    named = docs.withColumn("row", F.monotonically_increasing_id())
-    counted = named.mapInArrow(gram_counts, "row long, doc_id long, lang string, tokens long, grams array<struct<a:string,b:string,c:string,n:bigint>>")
-    counted = scratch.keep(counted)
-    heads = scratch.keep(counted.select("row", "doc_id", "lang", "tokens").join(good, "doc_id", "left"))
-    each = counted.select("row", F.inline("grams"))
-    # always by shuffle: the plan and its growth are the same at every size
-    model = counted.select("doc_id", "grams").join(good.select("doc_id").hint("merge"), "doc_id", "left_semi").select(F.inline("grams"))
-    prob = scratch.keep(probabilities(each.select("a", "b", "c"), model, scratch))
-    sums = each.join(prob, ["a", "b", "c"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
-    scored = heads.join(sums, "row", "left").select("row", "doc_id", "lang", F.col("tokens").alias("n_tokens"), F.coalesce("logp", F.lit(0.0)).alias("logp"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = scratch.keep(scored)
+    sums = perplexities(docs, trusted, vocabulary, scratch)
     mean = sums.filter("trusted").agg(F.sum("logp") / F.sum("n_tokens")).first()[0] or 0.0
     # rounded: sums depend on the order of rows in their last bits, and few distinct values keep exact quantiles small
     steady = F.round(F.least(F.exp(-(F.col("logp") + prior * mean) / (F.col("n_tokens") + prior)), F.lit(1e6)), 2)
@@ -141,11 +412,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     every = sure.agg(F.percentile("steadied", quantile)).first()[0]
     by = sure.groupBy("lang").agg(F.percentile("steadied", quantile).alias("q"), F.count("*").alias("many")).filter(f"lang is not null and many >= {LEAST}").select("lang", "q")
     by = scratch.keep(by)
-    scratch.only(sums, by)
     few = by.count() <= MAX_LANGUAGES  # else both sides are shuffled
     out = scored.join(F.broadcast(by) if few else by, "lang", "left")
-    threshold = (F.coalesce("q", F.lit(every).cast("double")) * slack).alias("threshold")
-    out = out.select("row", "doc_id", "lang", "n_tokens", "perplexity", "steadied", threshold)
+    out = out.select("row", "doc_id", "lang", "n_tokens", "perplexity", "steadied", F.coalesce("q", F.lit(every).cast("double")).alias("threshold"))
     return out.withColumn("keep", F.coalesce(F.col("steadied") <= F.col("threshold"), F.lit(True)))
 
 
@@ -155,4 +424,5 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of each of ``documents``; cases as in ``classify``."""
     return classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"))).drop("row")

@@ -94,3 +94,50 @@ def scores(docs, quantised, mu, remainder=1):
         return (min(quantised(two[v, w]), n) + mu * (quantised(one[w]) + 0.5) / zero) / (n + mu)
 
     return {i: sum(log10(p(v, w)) for v, w in zip([None, *ts], ts)) for i, ts in tokens.items()}  # noqa: B905
+
+
+def kneser_ney(docs, again):
+    """docs: (key, half, tokens with an end mark, trusted); log probability of each by the other half's model."""
+    from math import log
+
+    def trigrams(t):
+        words = [-1, -1]
+        for x in t:
+            yield words[-2], words[-1], x
+            if x != again:
+                words.append(x)
+
+    def discount(counts):
+        n = [sum(c == i for c in counts) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        raw = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i * 0.5 for i in (1, 2, 3)]
+        d = [0, *(min(max(r, 0.05), i - 0.05) for i, r in enumerate(raw, 1))]
+        return lambda c: d[min(c, 3)]
+
+    models = []
+    for half in (0, 1):
+        c3 = Counter(g for _, h, t, good in docs if h == half and good for g in trigrams(t))
+        c2 = Counter((b, c) for _, b, c in c3)
+        c1 = Counter(c for _, c in c2)
+        d3, d2, d1 = (discount(list(x.values())) for x in (c3, c2, c1))
+        after3, after2 = {}, {}
+        for (a, b, _), n in c3.items():
+            after3.setdefault((a, b), []).append(n)
+        for (b, _), n in c2.items():
+            after2.setdefault(b, []).append(n)
+        models.append((c3, c2, c1, d3, d2, d1, after3, after2))
+    out = {}
+    for key, h, t, _ in docs:
+        c3, c2, c1, d3, d2, d1, after3, after2 = models[1 - h]
+        total, types = max(sum(c1.values()), 1), len(c1) + 1
+        rest = sum(map(d1, c1.values())) / total if c1 else 1.0
+        s = 0.0
+        for a, b, c in trigrams(t):
+            p = (c1[c] - d1(c1[c])) / total + rest / types
+            if b in after2:
+                p = (c2[b, c] - d2(c2[b, c]) + sum(map(d2, after2[b])) * p) / sum(after2[b])
+            if (a, b) in after3:
+                p = (c3[a, b, c] - d3(c3[a, b, c]) + sum(map(d3, after3[a, b])) * p) / sum(after3[a, b])
+            s += log(p)
+        out[key] = s
+    return out

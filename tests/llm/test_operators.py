@@ -154,7 +154,6 @@ def test_packing(spark, plain, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in documents}
     got = packing.pack(plain, capacity=256).toPandas()
     assert got.length.sum() == sum(map(len, ids.values())) and got.length.max() <= 256
@@ -169,6 +168,19 @@ def test_packing(spark, plain, documents):
     assert digest == {(r.doc_id, r.piece): zlib.crc32(r.ids) for r in got.itertuples()}
 
 
+def test_encoder(monkeypatch):
+    """Ids are those of `tokenizers`, for special tokens' strings and for long texts in parts, too."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    rng = random.Random(9)
+    texts = ["a<|endoftext|>b <|endoftext|>", "x " * 50 + "<|endoftext|>", "", " ", "a  b\n c \t d"]
+    texts += ["".join(rng.choice(["the", " ", "  ", "\n", "'s", "é", "12", "!", " a", "\u2003", "\u00a0", "日本"]) for _ in range(400)) for _ in range(40)]
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(packing, "TOGETHER", size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing_edges(spark, clashing, documents):
     assert packing.pack(clashing).filter("doc_id is null").count() == 2
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -306,17 +318,52 @@ def test_quality(spark, clashing, documents):
     assert quality.classify(empty, trusted).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    """Interpolated probabilities over the whole vocabulary and one unseen word sum to 1 for any context."""
-    from gridloom.llm.common import Scratch
-
-    rng = random.Random(7)
-    grams = [(rng.choice("xyz"), rng.choice("xyz"), rng.choice("xyzuv"), rng.randint(1, 6)) for _ in range(60)]
-    trusted = spark.createDataFrame(grams, "a string, b string, c string, n long")
-    words = sorted({g[2] for g in grams})
-    ask = spark.createDataFrame([(a, b, c) for a, b in (("x", "y"), ("x", "new"), ("new", "z")) for c in [*words, "unseen"]], "a string, b string, c string")
-    got = quality.probabilities(ask, trusted, Scratch(spark, "t")).groupBy("a", "b").agg(F.sum(F.exp("logp")).alias("p")).collect()
-    assert len(got) == 3 and all(r.p == pytest.approx(1, abs=1e-9) for r in got)
+@pytest.mark.parametrize("small", [False, True])
+def test_perplexity(spark, documents, small, monkeypatch):
+    """Log probabilities equal plain dictionaries', with one part and step a text or many."""
+    import xxhash
+
+    if small:
+        monkeypatch.setattr(packing, "TOGETHER", 200)
+        monkeypatch.setattr(quality, "TOGETHER", 500)
+    encoder = packing.Encoder(packing.default_vocabulary())
+    docs = [(i, t, i % 3 != 0) for i, t in documents] + [(7000 + i, t, True) for i, t in documents[:9]]
+    df = spark.createDataFrame([(i, t, "en") for i, t, _ in docs], "doc_id long, text string, lang string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i, _, good in docs if good], "doc_id long")
+    got = by_id(quality.perplexities(df, trusted, None, common.Scratch(spark, "t")), "n_tokens", "logp", "trusted")
+    plain = [(i, xxhash.xxh64((t or "").encode(), 42).intdigest() % 2, [x for p in quality.tokens(encoder, t or "") for x in p.tolist()], good) for i, t, good in docs]
+    want = brute.kneser_ney(plain, quality.AGAIN)
+    for i, _, t, good in plain:
+        assert got[i][0] == len(t) and got[i][2] == good and got[i][1] == pytest.approx(want[i], rel=1e-9)
+
+
+def test_repeated_words_are_marks():
+    begins = np.array([False, True, True, False])
+    run = lambda *x: quality.marked(np.array(x, "<u4"), begins).tolist()
+    assert run(1, 3, 1, 3, 1, 3, 2) == [1, 3, quality.AGAIN, quality.AGAIN, 2]
+    assert run(0, 3, 1, 3) == [0, 3, 1, 3] and run(1) == [1] and run(1, 1) == [1, quality.AGAIN]
+
+
+def test_quality_tells_text_from_noise(spark):
+    """Texts with masked letters, invented or shuffled words are rejected; the test tables' own words are in no order, so these texts are chains."""
+    rng = random.Random(3)
+    words = [w for w in "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend father power hour game line end member law car city name team minute idea body back parent face level office door health person art war history party result change morning reason research girl guy moment air teacher force education".split()]
+    after = {w: rng.sample(words, 3) for w in words}
+
+    def chain():
+        out = [rng.choice(words)]
+        for _ in range(80):
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    good = [chain() for _ in range(200)]
+    some = [chain() for _ in range(40)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [good, some, [["q" * len(w) for w in t] for t in some], [["".join(rng.choices(letters, k=len(w))) for w in t] for t in some], [rng.sample(t, len(t)) for t in some]]
+    docs = [(1000 * k + i, " ".join(t), "en") for k, kind in enumerate(kinds) for i, t in enumerate(kind)]
+    got = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.range(200).withColumnRenamed("id", "doc_id"))
+    gone = {r[0]: r[1] for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("k")).agg(F.avg((~F.col("keep")).cast("int"))).collect()}
+    assert gone[0] <= 0.02 and gone[1] <= 0.05 and min(gone[2], gone[3], gone[4]) >= 0.95
 
 
 # --- nearest neighbours and fixity ---
