@@ -30,17 +30,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import GOLDEN, U64, Scratch, Words, batch_of, mix, seeds, shingles, slices, steps, table
+from .common import GOLDEN, STEP_BYTES, U64, Scratch, Words, batch_of, mix, seeds, shingles, slices, steps, table
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 5, 75
+#: Parts that a frequent key is dealt into.
+SALTS = 16
+
+
+#: Elements whose permutations are held at once.
+ELEMENTS = 1 << 16
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """One signature a set: ``rank << 32 | fraction`` for each of ``m`` cells (all ones for an empty set)."""
-    sizes = np.array([len(x) for x in sets])
     out = np.full(len(sets) * m, ~U64(0), U64)
-    h = np.concatenate(sets) if sets else np.empty(0, U64)
-    d = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets) if sets else np.empty(0, U64)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    for at in range(0, len(every), ELEMENTS):  # least values of parts are least values of the whole
+        lower(out, m, every[at : at + ELEMENTS], of[at : at + ELEMENTS])
+    return out.reshape(-1, m)
+
+
+def lower(out: np.ndarray, m: int, h: np.ndarray, d: np.ndarray) -> None:
+    """Puts the elements ``h`` of the sets ``d`` into the signatures."""
     low, half = U64(0xFFFFFFFF), U64(32)
     with np.errstate(over="ignore"):
         cells = None
@@ -54,8 +66,9 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
                 cell = cells[line, k].astype(np.int64)
                 cells[line, k] = cells[:, j]
             np.minimum.at(out, d * m + cell, (U64(j) << half) | (x & low))
-            most = out.reshape(-1, m).max(axis=1)
-            more = (most >= (U64(j + 1) << half))[d]
+            first = d[0]
+            most = out.reshape(-1, m)[first : d[-1] + 1].max(axis=1)
+            more = (most >= (U64(j + 1) << half))[d - first]
             if not more.any():
                 break
             if j == 0:
@@ -64,7 +77,6 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
                 cells[np.arange(len(h)), k] = 0
             elif more.sum() < 0.7 * len(more):
                 h, d, cells = h[more], d[more], cells[more]
-    return out.reshape(-1, m)
 
 
 def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
@@ -79,7 +91,7 @@ FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64
 
 def features(width: int, bands: int, rows: int):
     def run(batches):
-        for batch, raw in steps(batches):
+        for batch, raw in steps(batches, limit=STEP_BYTES // 2):
             sets = shingles(Words(raw), width)
             keys = band_keys(superminhash(sets, bands * rows), bands).view(np.int64)
             n = np.array([len(x) for x in sets])
@@ -114,8 +126,12 @@ def verify(width: int, percent: int):
     return run
 
 
+#: Nodes that a partition's union-find holds; then it begins anew.
+NODES = 500_000
+
+
 def union_find(batches):
-    """The partition's links as stars: (node, smallest node of its group here)."""
+    """The partition's links as stars: (smallest node of the node's group here, node)."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -124,6 +140,12 @@ def union_find(batches):
             x = root[x]
         return x
 
+    def stars():
+        nodes = [x for x in root if find(x) != x]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([find(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             root.setdefault(a, a)
@@ -131,16 +153,17 @@ def union_find(batches):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    nodes = [x for x in root if find(x) != x]
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_pydict({"a": pa.array([find(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
+        if len(root) > NODES:
+            yield from stars()
+            root.clear()
+    yield from stars()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node that has a link; component is its smallest node."""
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = scratch.keep(links.select(low, high).repartition("a").mapInArrow(union_find, "a long, b long"))
+    # by node and a part of its links, so that a node of many links is no single task
+    edges = scratch.keep(links.select(low, high).repartition(F.col("a"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(union_find, "a long, b long"))
     mark = None
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -227,9 +250,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id, kept), one row a row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts have no shingles and are alone in their component.  Rows
-    that share a doc_id are one node.  A null doc_id has no component and is kept.
+    that share a doc_id are one node: all their texts' links join in it.  A null doc_id
+    has no component and is kept.  Ties: the smallest doc_id is the one that is kept.  Very
+    long texts are hashed, and their signatures drawn, in pieces.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash", "none")  # many small tables
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.keep(docs.mapInArrow(features(width, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "lz4")
     real = feats.filter("n > 0 and doc_id is not null")
@@ -245,12 +270,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     stars = scratch.keep(members.filter(f"100 * least(n, hn) >= {percent} * greatest(n, hn)").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     first = verified(stars)
-    links = first.filter("linked").select("a", "b")
+    # rows of one doc_id are one node, so their classes are linked
+    own = real.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).filter("x <> y").select("doc_id")
+    several = scratch.keep(real.select("doc_id", "f1", "f2").join(own, "doc_id", "left_semi").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = first.filter("linked").select("a", "b").union(several)
     group = scratch.keep(components(links, scratch))
     of = members.join(group.select(F.col("node").alias("rep"), F.col("component").alias("rc")), "rep", "left").join(group.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left")
     apart = scratch.keep(of.select("key", "rep", "hub", F.coalesce("rc", "rep").alias("rc"), F.coalesce("hc", "hub").alias("hc")).withColumn("apart", F.col("rc") != F.col("hc")))
     seekers = scratch.keep(apart.filter("apart").select("rep", F.col("rc").alias("comp"), F.col("hub").alias("goal")).distinct())
-    inside = apart.join(apart.filter("apart").select("key").distinct(), "key", "left_semi")
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")
+    mixed = apart.filter("apart").select("key").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = apart.select("*", salt).join(mixed, ["key", "salt"], "left_semi")
     around = scratch.keep(inside.select("rep", F.col("rc").alias("comp"), F.col("hub").alias("goal")).distinct())
     links = links.union(scratch.keep(sought_links(seekers, around, texts, width, percent, scratch)))
     group = components(links, scratch)
@@ -264,4 +294,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and verdict of each of ``documents``; cases as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -56,6 +56,35 @@ def test_near_duplicates_edges(spark, clashing, documents):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_shared_ids(spark):
+    """Different texts of one doc_id are one node and join what they are linked with."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (4, b), (9, c), (9, None), (8, c), (1, "other words than these are here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles} == {(3, 3, True), (5, 3, False), (4, 3, False), (9, 8, False), (8, 8, True), (1, 1, True)}
+
+
+@pytest.mark.parametrize("nodes", [1, 10])
+def test_union_find_begins_anew(nodes, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "NODES", nodes)
+    links = [(1, 2), (2, 3), (7, 8), (3, 9), (8, 7), (5, 9)]
+    batches = [pa.RecordBatch.from_pydict({"a": pa.array([a]), "b": pa.array([b])}) for a, b in links]
+    out = [(a, b) for x in minhash.union_find(batches) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+    assert all(a < b for a, b in out) and {x for e in out for x in e} == {1, 2, 3, 5, 7, 8, 9}
+    if nodes == 10:
+        assert sorted(out) == [(1, 2), (1, 3), (1, 5), (1, 9), (7, 8)]
+
+
+def test_superminhash_in_parts(monkeypatch):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 0, 700, 1, 90, 0)]
+    whole = minhash.superminhash(sets, 64)
+    monkeypatch.setattr(minhash, "ELEMENTS", 50)
+    assert (whole == minhash.superminhash(sets, 64)).all()
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
