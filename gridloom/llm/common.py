@@ -22,12 +22,14 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = held.get() if held.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, place, True)
         spark.sparkContext.setCheckpointDir(place)
@@ -50,18 +52,18 @@ class Scratch:
     when the driver's Python ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
+        self.spark, self.codec = spark, codec
         self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
         self.held: list[DataFrame] = []
         self.n = 0
         atexit.register(remove, spark, self.top)
 
-    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, codec: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec or self.codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self.held.append(out)  # ids stay unique
@@ -269,7 +271,7 @@ def unplaned(raw: bytes, kind: str) -> np.ndarray:
 def squeezed(x: np.ndarray) -> bytes:
     """An array's planes by zstd, after their length."""
     raw = planes(x)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unsqueezed(raw: bytes, kind: str) -> np.ndarray:

@@ -85,6 +85,17 @@ def tokens(encoder: Encoder, text: str):
     yield np.append(held, END).astype("<u4")
 
 
+def packed(ids: np.ndarray, small: bool) -> bytes:
+    """Token numbers by zstd, after their width and length; ``small``: the vocabulary leaves 16 bits the marks' last ones."""
+    raw = ids.astype("<u2" if small else "<u4").tobytes()
+    return bytes([2 if small else 4]) + len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True), f"<u{raw[0]}").astype(U64)
+    return np.where(x >= U64(AGAIN & 0xFFFF), x | U64(AGAIN & ~0xFFFF), x) if raw[0] == 2 else x
+
+
 ABOUT = {"row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "trusted": pa.bool_(), "size": pa.int32()}
 HELD = pa.schema([("step", pa.int64()), ("half", pa.int32()), *[(k, pa.list_(v)) for k, v in ABOUT.items()], ("ids", pa.binary())])
 HELD_SQL = "step long, half int, row array<long>, doc_id array<long>, lang array<string>, trusted array<boolean>, size array<int>, ids binary"
@@ -103,7 +114,7 @@ def together(vocabulary: str | None, limit: int):
         def step(half):
             about, ids = held[half]
             held[half] = ({k: [] for k in ABOUT}, [])
-            return batch_of(HELD, {"step": [(task << 32) + n], "half": [half], "ids": [squeezed(np.concatenate(ids))]} | {k: [v] for k, v in about.items()})
+            return batch_of(HELD, {"step": [(task << 32) + n], "half": [half], "ids": [packed(np.concatenate(ids), len(encoder.begins) <= AGAIN & 0xFFFF)]} | {k: [v] for k, v in about.items()})
 
         for batch in slices(batches):
             for row, doc, lang, trusted, half, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "lang", "trusted", "half", "text")), strict=True):
@@ -127,7 +138,7 @@ def together(vocabulary: str | None, limit: int):
 
 def trigrams(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """The trigram that ends at each token, as b, c, a from the highest bits on, and the token's part; marks of repetition are no context."""
-    x = unsqueezed(row["ids"], "<u4").astype(U64)
+    x = unpacked(row["ids"])
     part = np.repeat(np.arange(len(row["size"])), row["size"])
     inside = np.append([False, False], part[2:] == part[:-2])
     word = x != U64(AGAIN)
