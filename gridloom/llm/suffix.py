@@ -36,7 +36,7 @@ from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, seeds, slic
 
 LENGTH, GRAM = 100, 20
 #: Window starts in a piece of a document; text bytes for a shard, about; suffixes sorted at once, about.
-PIECE, SHARD, SORTED = 1 << 18, 8 << 20, 1 << 20
+PIECE, SHARD, SORTED = 1 << 18, 4 << 20, 1 << 20
 #: Documents from which on a gram is keyed more finely; documents in the sample that finds such grams; offsets of a finer key.
 HOT, SAMPLE, FINE = 20_000, 20_000, 8
 #: Frequent grams that are sent to workers at most (32 MB); HOT rises with the input where it would give more.
@@ -60,6 +60,11 @@ def loads(buf: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray((len(buf) - size + 1,), kind, buf.tobytes(), 0, (1,)).copy()
 
 
+def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+
+
 def contexts(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, hot: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
     """(piece, first window, windows, gram hash, context hash) of every run of windows with one anchor."""
     whole = b"".join(pieces)
@@ -112,7 +117,7 @@ def contexts(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, hot: t
         at = anchor[lo]
         fp = mix(h[at] + GOLDEN)
         for keys, width in zip(hot, (FINE, 1), strict=False):
-            often = np.isin(fp, keys)
+            often = among(fp, keys)
             if not often.any():
                 break
             # offsets of the windows from their anchor, cut at multiples of width
@@ -160,8 +165,9 @@ def documents(batches):
 SEEN = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
 
-def gram_counts(length: int, gram: int, hot: tuple[np.ndarray, ...]):
+def gram_counts(length: int, gram: int, shared):
     def run(batches):
+        hot = shared.value
         for _, _, raw in documents(batches):
             for part in pieces_of(raw, length):
                 piece, _, _, fp, _ = contexts([x for _, _, x in part], length, gram, hot)
@@ -219,8 +225,9 @@ def unpacked(group: pa.Table) -> dict[str, np.ndarray]:
 TOGETHER = 200_000
 
 
-def spread(shards: int, hot: tuple[np.ndarray, ...], length: int, gram: int):
+def spread(shards: int, shared, length: int, gram: int):
     def run(batches):
+        hot = shared.value
         held: list[dict[str, np.ndarray]] = []
         n = 0
         for did, sha, raw in documents(batches):
@@ -271,6 +278,7 @@ def copies(group: pa.Table) -> pa.Table:
     fp, own = r["fp"][order], r["own"][order]
     new_fp = np.append(True, fp[1:] != fp[:-1])[: len(fp)]
     first = new_fp | np.append(True, own[1:] != own[:-1])[: len(fp)]
+    del fp, own
     gram = np.cumsum(new_fp) - 1
     several = (np.bincount(gram, first) > 1)[gram]
     return pa.concat_tables([ranges(r, done), ranges(r, order[~first]), ranges(r, order[first & several], ask=True)])
@@ -515,13 +523,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     sampled = long.filter(F.pmod(F.xxhash64("did", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000))
     hot = max(hot, (size or 0) // MAX_KEYS)  # a context has one byte of its own at least
     keys: tuple[np.ndarray, ...] = ()
+    shared = spark.sparkContext.broadcast(keys)
     for _ in range(2):
-        often = sampled.mapInArrow(gram_counts(length, gram, keys), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, hot * part))
+        often = sampled.mapInArrow(gram_counts(length, gram, shared), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, hot * part))
         more = often.select("fp").toArrow().column("fp").to_numpy().view(U64)  # at most MAX_KEYS
         if not len(more):
             break
-        keys = (*keys, more)
-    first = scratch.keep(long.select("did", "sha", "text").mapInArrow(spread(shards, keys, length, gram), PACKED_SQL).groupBy("shard").applyInArrow(copies, RANGES_SQL))
+        keys = (*keys, np.sort(more))
+        shared = spark.sparkContext.broadcast(keys)
+    first = scratch.keep(long.select("did", "sha", "text").mapInArrow(spread(shards, shared, length, gram), PACKED_SQL).groupBy("shard").applyInArrow(copies, RANGES_SQL))
     asked = first.filter("ask").groupBy("did", "sha").agg(F.collect_list(F.struct("lo", "many", "fp", "own")).alias("asked"))
     need = asked.join(long.select("did", "sha", "text"), ["did", "sha"])
     second = scratch.keep(need.mapInArrow(cut_out(shards, length), PACKED_SQL).groupBy("shard").applyInArrow(repeats(length), RANGES_SQL))
@@ -536,4 +546,5 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of ``documents`` loses; cases as in ``dedup_substrings``."""
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
