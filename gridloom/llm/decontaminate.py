@@ -62,19 +62,23 @@ def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int =
     small = wanted.count() <= MAX_BROADCAST
     base = docs.select(F.col("doc_id"), words(F.col("text").cast("string")).alias("w")).withColumn("n_words", F.size("w"))
     rows = placed(base, "w")
+    around = F.when(F.col("at") >= 0, F.expr(f"slice(w, greatest(at - {size - 1}, 0) + 1, {2 * size - 1})")).alias("near")
+    place = ["doc_id", "n_words", "at", "key"]
     hits = None
     for k in sizes or [shingle]:
         want = wanted.filter(F.col("k") == k).select("key")
-        if k == (sizes or [shingle])[0]:
+        if small and k == (sizes or [shingle])[0]:
             want = want.union(spark.range(1).select(F.lit(-1).cast("long").alias("key"))).distinct()
             key = F.when(F.col("at") < 0, F.lit(-1).cast("long"))
         else:
             key = F.when(F.col("at") < 0, F.lit(None).cast("long"))
         key = key.when(F.col("at") + k <= F.col("n_words"), shingle_key("w", "at", k))
         side = rows.withColumn("key", key).filter("key is not null")
-        met = side.join(F.broadcast(want) if small else want, "key")
-        met = met.select("doc_id", "n_words", "at", "key", F.when(F.col("at") >= 0, F.expr(f"slice(w, greatest(at - {size - 1}, 0) + 1, {2 * size - 1})")).alias("near"))
+        # what is shuffled has the words around its place only, not the document's
+        met = side.join(F.broadcast(want), "key").select(*place, around) if small else side.select(*place, around).join(want, "key").select(*place, "near")
         hits = met if hits is None else hits.union(met)
+    if not small:  # a row for each document, which no key gathers
+        hits = hits.union(base.select("doc_id", "n_words", F.lit(-1).alias("at"), F.lit(-1).cast("long").alias("key"), F.lit(None).cast("array<string>").alias("near")))
     hits = scratch.keep(hits)
     found = hits.filter("at >= 0")
     rare = keys.join(found.groupBy("key").agg(F.count("*").alias("often")), "key")
@@ -112,6 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and items of each of ``documents``; cases as in ``decontaminate``."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
