@@ -252,6 +252,52 @@ def _glob(spark, d):
     return readers.read_parquet(spark, files, place=False).select("r_name", F.lit(1).alias("n"))
 
 
+def several(spark, d) -> str:
+    """The orders as a folder of files in the order of their keys."""
+    out: list[str] = []
+
+    def write(df, p):
+        sinks.write_parquet(df.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey"), p, "overwrite")
+        out.append(p)
+
+    written(spark, spark.read.parquet(f"{d}/orders.parquet"), write, lambda p: None)
+    return out[0] if "://" in out[0] else f"file://{out[0]}"
+
+
+_MIDDLE = "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r >= n // 2 AND r < n // 2 + 256"
+
+
+@query("folder_tile", _MIDDLE)
+def _folder_tile(spark, d):
+    """A tile in the middle of a table of several files, by URI."""
+    engine = Engine(spark)
+    s = engine.register(several(spark, d))
+    return engine.tile(View(s.id), engine.count(View(s.id)) // 2).select("o_orderkey", "o_custkey")
+
+
+@query("folder_search", "SELECT r AS row_id FROM (SELECT o_orderpriority AS t, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE contains(t, '1-URGENT') ORDER BY r LIMIT 100")
+def _folder_search(spark, d):
+    engine = Engine(spark)
+    s = engine.register(several(spark, d))
+    return tiles.search(s.df, "1-URGENT", ["o_orderpriority"])
+
+
+@query("folder_dedup", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def _folder_dedup(spark, d):
+    """The first row of each customer, in the order of several files."""
+    engine = Engine(spark)
+    s = engine.register(several(spark, d))
+    return engine.query(View(s.id, [op("select", columns=["o_custkey", "o_orderkey"]), op("deduplicate", columns=["o_custkey"])]))
+
+
+@query("csv_search", "SELECT r AS row_id FROM (SELECT o_orderpriority AS t, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE contains(t, '2-HIGH') ORDER BY r LIMIT 100")
+def _csv_search(spark, d):
+    def write(df, p):
+        df.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.mode("overwrite").option("header", True).csv(p)
+
+    return written(spark, spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority"), write, lambda p: tiles.search(readers.numbered(readers.read_csv(spark, p)), "2-HIGH", ["o_orderpriority"]))
+
+
 @query("sink_parquet", "SELECT * FROM nation")
 def _sink_parquet(spark, d):
     return written(spark, source(spark, d, "nation").drop(PLACE), lambda df, p: sinks.write_parquet(df, p, "overwrite"), spark.read.parquet)
@@ -292,7 +338,7 @@ def _scan_arrow(spark, d):
     with tempfile.TemporaryDirectory() as top:
         with pa.ipc.new_file(f"{top}/n.arrow", t.schema) as w:
             w.write_table(t)
-        return readers.read_arrow(spark, f"{top}/n.arrow")
+        return readers.read_arrow(spark, f"{top}/n.arrow").drop(PLACE)
 
 
 @query("upload", "SELECT * FROM region")
@@ -383,10 +429,16 @@ def _col_stats(spark, d):
     return profile.column_stats(source(spark, d, "lineitem"), ["l_quantity", "l_returnflag"], exact=True).select("column", "count", "null_count", "distinct", F.round("mean", 6).alias("mean"))
 
 
-@query("profile", "SELECT 'r_regionkey' AS \"column\", 5 AS \"distinct\", 'unique' AS cardinality UNION ALL SELECT 'r_name', 5, 'unique'")
+_CLASS = (
+    "SELECT '{c}' AS \"column\", d AS \"distinct\", CASE WHEN d = 0 OR n = 0 THEN 'unknown' WHEN d = 1 THEN 'constant' WHEN d = 2 THEN 'binary' WHEN d <= 20 THEN 'low_cardinality' "
+    "WHEN d <= sqrt(n) THEN 'categorical' WHEN d >= 0.95 * n THEN 'unique' ELSE 'high_cardinality' END AS cardinality FROM (SELECT count(DISTINCT {c}) AS d, count(*) AS n FROM customer)"
+)
+_CLASSED = ["c_custkey", "c_nationkey", "c_mktsegment", "c_name"]
+
+
+@query("profile", " UNION ALL ".join(_CLASS.format(c=c) for c in _CLASSED))
 def _profile(spark, d):
-    got = profile.column_stats(source(spark, d, "region").drop(PLACE), exact=True)
-    return got.select("column", F.col("distinct").cast("int").alias("distinct"), F.when(F.col("distinct") == F.col("count"), "unique").otherwise(F.col("cardinality")).alias("cardinality"))
+    return profile.column_stats(source(spark, d, "customer"), _CLASSED, exact=True).select("column", "distinct", "cardinality")
 
 
 @query("col_stats_coarse", "SELECT least(8192, count(*)) AS count FROM lineitem")

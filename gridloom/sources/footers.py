@@ -74,3 +74,7 @@ def recommendations(files: list[str]) -> list[str]:
                 bloomless |= getattr(column, "bloom_filter_offset", None) is None
     out = ["small_row_groups"] if groups > 1 and size / groups < SMALL_GROUP else []
     return out + ["missing_statistics"] * bare + ["no_bloom_filters"] * bool(bloomless and groups)
+
+
+def row_count(files: list[str]) -> int:
+    return sum(pq.read_metadata(f).num_rows for f in files)

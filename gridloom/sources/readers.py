@@ -1,8 +1,8 @@
 """Readers: a URI to a lazy DataFrame with the rows' place in the source.
 
-Parquet rows carry ``_metadata.row_index`` (plus the rows of the files before), so a
-filter or a projection still reaches the scan.  Sources without such numbers get
-increasing ids.
+Parquet rows carry ``_metadata.row_index`` plus the rows of the files before, which one
+count by file gives, wherever the files are; a filter or a projection still reaches the scan.
+Text files are numbered by the counts of their blocks.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import json
 import os
 import posixpath
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.pipeline import PLACE
@@ -63,21 +64,47 @@ def same_schemas(files: list[str]) -> None:
 
 
 def read_parquet(spark: SparkSession, files: list[str], place: bool = True) -> DataFrame:
-    if len(files) > 1 and all(os.path.isfile(f) for f in files):
+    if len(files) > 1 and all(os.path.isfile(local_path(f)) for f in files):
         same_schemas(files)
     df = spark.read.parquet(*files)
     if not place:
         return df
-    if len(files) == 1 and not os.path.isdir(local_path(files[0])) and "://" not in files[0]:
+    if len(files) == 1 and os.path.isfile(local_path(files[0])):
         return df.withColumn(PLACE, F.col("_metadata.row_index"))
-    if len(files) <= MAX_NUMBERED and all(os.path.isfile(f) for f in files):
+    if len(set(files)) < len(files):  # a file given twice: its rows can't be told apart by where they are
+        return df.withColumn(PLACE, F.monotonically_increasing_id())
+    return after_starts(df, F.col("_metadata.file_path"), F.lit(0).cast("bigint"), F.col("_metadata.row_index"))
+
+
+def after_starts(df: DataFrame, path: Column, block: Column, index: Column) -> DataFrame:
+    """The rows with their place: ``index`` counts from its least value in a (path, block); these follow in order.
+
+    One job counts by (path, block), one row each; footers do for Parquet.
+    """
+    parts = df.select(path.alias("path"), block.alias("block"), index.alias("i")).groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("low"))
+    if len(few := parts.limit(MAX_NUMBERED + 1).collect()) <= MAX_NUMBERED:
         starts, at = [], 0
-        for f in files:
-            starts += [F.lit(posixpath.basename(f)), F.lit(at)]
-            at += pq.read_metadata(f).num_rows
-        if len({posixpath.basename(f) for f in files}) == len(files):
-            return df.withColumn(PLACE, (F.create_map(*starts)[F.col("_metadata.file_name")] + F.col("_metadata.row_index")).cast("bigint"))
-    return df.withColumn(PLACE, F.monotonically_increasing_id())
+        for r in sorted(few, key=lambda r: (r.path, r.block)):
+            starts += [F.lit(f"{r.block} {r.path}"), F.lit(at - r.low).cast("bigint")]
+            at += r.n
+        if len(few) < 2:
+            return df.withColumn(PLACE, (index + starts[1] if few else index).cast("bigint"))
+        return df.withColumn(PLACE, (F.create_map(*starts)[F.concat_ws(" ", block.cast("string"), path)] + index).cast("bigint"))
+    before = F.sum("n").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col("path").alias("__path"), F.col("block").alias("__block"), (F.coalesce(before, F.lit(0)) - F.col("low")).alias("__start"))
+    met = df.withColumns({"__path": path, "__block": block, "__i": index}).join(starts, ["__path", "__block"], "left")
+    return met.withColumn(PLACE, F.col("__start") + F.col("__i")).drop("__path", "__block", "__start", "__i")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows of text files with their place; a block's rows have consecutive ids."""
+    return after_starts(df, F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
+def placed(data) -> pa.Table:
+    """An Arrow table or a pandas DataFrame as an Arrow table with rows' places."""
+    t = data if isinstance(data, pa.Table) else pa.Table.from_pandas(data, preserve_index=False)
+    return t.append_column(PLACE, pa.array(range(len(t)), pa.int64()))
 
 
 def read_csv(spark: SparkSession, uri: str) -> DataFrame:
@@ -90,11 +117,11 @@ def read_json(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def read_arrow(spark: SparkSession, uri: str) -> DataFrame:
-    """An Arrow IPC file; it is read by the driver, as its format isn't splittable by Spark."""
+    """An Arrow IPC file with its rows' places; it is read by the driver, as Spark can't split its format, so it must fit there."""
     import pyarrow.ipc
 
     with pyarrow.ipc.open_file(local_path(uri)) as f:
-        return spark.createDataFrame(f.read_all())
+        return spark.createDataFrame(placed(f.read_all()))
 
 
 def delta_files(uri: str) -> list[str]:
@@ -171,4 +198,4 @@ def open_source(spark: SparkSession, uri: str, place: bool = True) -> tuple[Data
         files = expand(uri) if kind == "local_file" else [cloud_path(uri)]
         return read_parquet(spark, files, place), files
     df = {"csv": read_csv, "json": read_json, "arrow": read_arrow}[fmt](spark, uri)
-    return (df.withColumn(PLACE, F.monotonically_increasing_id()) if place else df), [local_path(uri)]
+    return (df if place and fmt == "arrow" else numbered(df) if place else df.drop(PLACE)), [local_path(uri)]

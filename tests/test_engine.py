@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import predicates
 from gridloom.operators import pipeline, profile, tiles
-from gridloom.operators.pipeline import apply
+from gridloom.operators.pipeline import PLACE, apply
 from gridloom.plans import export
 from gridloom.plans.view import View, canonical
 from gridloom.sources import readers, sinks
@@ -258,3 +258,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["apply", f"{tmp_path}/v.json", "--format", "csv", "-o", f"{tmp_path}/c"]) == 0
     assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 3
     assert main(["profile", f"{DATA}/region.parquet"]) == 0 and len(capsys.readouterr().out.splitlines()) == 2
+
+
+def test_places_over_files(spark, tmp_path):
+    """Row numbers over many files, by path or URI, beyond the map of starts, too; filters reach the scan."""
+    from gridloom.sources import readers
+
+    spark.range(5000).repartitionByRange(4, "id").sortWithinPartitions("id").withColumn("x", F.col("id") * 2).write.parquet(str(tmp_path / "t"))
+    for most in (1000, 2):
+        old, readers.MAX_NUMBERED = readers.MAX_NUMBERED, most
+        try:
+            for uri in (str(tmp_path / "t"), f"file://{tmp_path}/t"):
+                df = readers.read_parquet(spark, [uri])
+                assert df.filter(F.col("id") != F.col(PLACE)).count() == 0 and df.count() == 5000
+            if most == 1000:
+                plan = df.filter("x > 9000")._jdf.queryExecution().executedPlan().toString()
+                assert "GreaterThan(x,9000)" in plan
+        finally:
+            readers.MAX_NUMBERED = old
+    spark.read.parquet(str(tmp_path / "t")).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("header", True).csv(str(tmp_path / "c"))
+    df = readers.numbered(readers.read_csv(spark, str(tmp_path / "c")))
+    assert df.filter(F.col("id") != F.col(PLACE)).count() == 0
+    engine = Engine(spark)
+    s = engine.register(f"file://{tmp_path}/t", "t")
+    assert [r.id for r in engine.tile(View(s.id), 2500).collect()] == list(range(2500, 2756)) and engine.count(View(s.id)) == 5000
+    up = engine.upload(spark.range(300).toPandas(), "u")
+    assert [r.id for r in engine.tile(View(up.id), 250).collect()] == list(range(250, 300))
