@@ -27,6 +27,11 @@ come from perplexities of the same kind as those they are applied to.
    at most its language's threshold: the ``QUANTILE`` of the trusted documents'
    steadied perplexities in that language (of all trusted documents if the language
    has fewer than ``LEAST``).
+
+A few toxic words in ordinary prose hardly move a text's perplexity.  They are found beside
+the model: a word is toxic if a ``SHARE`` of the texts labelled toxic hold it, and
+``RATIO`` times as large a share as of the labelled others.  Each row tells how many
+different ones it holds; this doesn't change ``keep``.
 """
 
 from __future__ import annotations
@@ -41,10 +46,13 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, segment_of, slices, squeezed, summed, table, unsqueezed
 from .packing import Encoder, default_vocabulary
+from .wordsql import words
 
 QUANTILE, LEAST, PRIOR = 0.998, 60, 40
 #: Languages whose thresholds are broadcast; trusted ids that are.
 MAX_LANGUAGES, MAX_IDS = 10_000, 1_000_000
+#: A toxic word's least share of toxic texts, least number of them, and least ratio of shares.
+SHARE, TEXTS, RATIO = 0.1, 5, 20
 #: Tokens of a step, about; text bytes for a shard, about.
 TOGETHER, SHARD = 3 << 20, 32 << 20
 
@@ -96,9 +104,9 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.where(x >= U64(AGAIN & 0xFFFF), x | U64(AGAIN & ~0xFFFF), x) if raw[0] == 2 else x
 
 
-ABOUT = {"row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "trusted": pa.bool_(), "size": pa.int32()}
+ABOUT = {"row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "trusted": pa.bool_(), "toxic_words": pa.int32(), "size": pa.int32()}
 HELD = pa.schema([("step", pa.int64()), ("half", pa.int32()), *[(k, pa.list_(v)) for k, v in ABOUT.items()], ("ids", pa.binary())])
-HELD_SQL = "step long, half int, row array<long>, doc_id array<long>, lang array<string>, trusted array<boolean>, size array<int>, ids binary"
+HELD_SQL = "step long, half int, row array<long>, doc_id array<long>, lang array<string>, trusted array<boolean>, toxic_words array<int>, size array<int>, ids binary"
 
 
 def together(vocabulary: str | None, limit: int):
@@ -117,12 +125,12 @@ def together(vocabulary: str | None, limit: int):
             return batch_of(HELD, {"step": [(task << 32) + n], "half": [half], "ids": [packed(np.concatenate(ids), len(encoder.begins) <= AGAIN & 0xFFFF)]} | {k: [v] for k, v in about.items()})
 
         for batch in slices(batches):
-            for row, doc, lang, trusted, half, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "lang", "trusted", "half", "text")), strict=True):
+            for row, doc, lang, trusted, toxic, half, text in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "lang", "trusted", "toxic_words", "half", "text")), strict=True):
                 before = np.array([START, START], "<u4")
                 for part in tokens(encoder, text):
                     about, ids = held[half]
                     ids += [before, part]
-                    for k, v in zip(ABOUT, (row, doc, lang, trusted, len(part) + 2), strict=True):
+                    for k, v in zip(ABOUT, (row, doc, lang, trusted, toxic, len(part) + 2), strict=True):
                         about[k].append(v)
                     before = np.append(before, part[part != AGAIN][-2:])[-2:]
                     if sum(about["size"][-64:]) > limit or len(about["size"]) % 64 == 0 and sum(about["size"]) > limit:
@@ -328,7 +336,7 @@ def logs(keys, c3, c2, context, token, own) -> np.ndarray:
         return np.log(np.where(total3 > 0, (left(c3, d3) + sum(d * x for d, x in zip(d3, n, strict=True)) * lower) / total3, lower))
 
 
-SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("tokens", pa.int64()), ("logp", pa.float64())])
+SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("toxic_words", pa.int32()), ("tokens", pa.int64()), ("logp", pa.float64())])
 
 
 def score(shards: int, shared):
@@ -354,7 +362,7 @@ def score(shards: int, shared):
         by_place = np.empty(len(every))
         by_place[order] = p[np.cumsum(new) - 1]
         size = np.array(row["size"], np.int64) - 2
-        out = {k: row[k] for k in ("row", "doc_id", "lang", "trusted")} | {"tokens": size, "logp": np.add.reduceat(by_place, np.cumsum(size) - size)}
+        out = {k: row[k] for k in ("row", "doc_id", "lang", "trusted", "toxic_words")} | {"tokens": size, "logp": np.add.reduceat(by_place, np.cumsum(size) - size)}
         return pa.Table.from_batches([batch_of(SCORED, out)])
 
     return run
@@ -374,8 +382,38 @@ def models(sums: DataFrame) -> list[tuple]:
     return out
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, scratch: Scratch) -> DataFrame:
-    """(row, doc_id, lang, trusted, n_tokens, logp), one row a row of ``docs`` (doc_id, text, lang)."""
+def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The words that mark toxic texts; equal texts count once.
+
+    ``labels`` has doc_id and toxic; a document labelled both ways is toxic, a null label is none.
+    At most 1 / ``SHARE`` times a toxic text's mean number of different words come to the driver.
+    """
+    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
+    said = said.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic, others = (said.filter(f"(toxic > 0) = {x}").select("doc_id") for x in ("true", "false"))
+    held = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+    def texts(ids: DataFrame, pick) -> DataFrame:
+        few = ids.count() <= MAX_IDS  # else by shuffle
+        return held.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("h", pick(F.array_distinct(words(F.col("text")))).alias("w")).dropDuplicates(["h"])
+
+    bad = texts(toxic, lambda w: w)
+    n = bad.count()
+    often = {r.word: r["count"] for r in bad.select(F.explode("w").alias("word")).groupBy("word").count().filter(F.col("count") >= max(TEXTS, SHARE * n)).collect()}
+    if not often:
+        return []
+    rest = texts(others, lambda w: F.array_intersect(w, F.lit(sorted(often))))
+    met = rest.select(F.explode_outer("w").alias("word")).groupBy("word").count()
+    all_of = rest.count()
+    seen = {r.word: r["count"] for r in met.collect()}
+    return sorted(w for w, c in often.items() if c / n >= RATIO * (seen.get(w, 0) + 0.5) / max(all_of, 1))
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, scratch: Scratch, toxic: list[str] | None = None) -> DataFrame:
+    """(row, doc_id, lang, trusted, toxic_words, n_tokens, logp), one row a row of ``docs`` (doc_id, text, lang).
+
+    ``toxic_words``: how many different ones of the words ``toxic`` the text holds.
+    """
     spark = docs.sparkSession
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     good = scratch.keep(good)
@@ -384,6 +422,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, sc
     shards = max(16, -(-size // SHARD))
     few = good.count() <= MAX_IDS  # else by shuffle
     docs = docs.join(F.broadcast(good) if few else good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    docs = docs.withColumn("toxic_words", F.size(F.array_intersect(words(F.col("text")), F.lit(toxic))) if toxic else F.lit(0))
     # bucketed by step, so that meeting the answers doesn't shuffle the tokens again
     name = f"quality_{uuid.uuid4().hex}"
     docs.mapInArrow(together(vocabulary, TOGETHER), HELD_SQL).write.bucketBy(shards, "step").option("path", f"{scratch.top}/held").option("compression", "none").format("parquet").saveAsTable(name)
@@ -392,19 +431,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, sc
     shared = spark.sparkContext.broadcast(models(owner))
     around = owner.filter(f"kind = {CONTEXT}").union(held.mapInArrow(ask_contexts(shards), SENT_SQL)).groupBy("shard").applyInArrow(summed_contexts, SENT_SQL)
     answers = owner.filter(f"kind = {ASKED}").union(around)
-    scored = held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(score(shards, shared), "row long, doc_id long, lang string, trusted boolean, tokens long, logp double")
-    scored = scored.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.sum("tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
+    scored = held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(score(shards, shared), "row long, doc_id long, lang string, trusted boolean, toxic_words int, tokens long, logp double")
+    scored = scored.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max("toxic_words").alias("toxic_words"), F.sum("tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
     scored = scratch.keep(scored)
     spark.sql(f"DROP TABLE {name}")
     scratch.only(scored)
     return scored
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR, vocabulary: str | None = None) -> DataFrame:
-    """(row, doc_id, lang, n_tokens, perplexity, steadied, threshold, keep), one row a row of ``docs``.
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR, vocabulary: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, lang, n_tokens, perplexity, steadied, threshold, toxic_words, toxic, keep), one row a row of ``docs``.
 
     ``docs`` has doc_id, text and lang; other columns are ignored.  ``trusted``: doc_ids of
     trusted documents, repeated ones count once.  ``vocabulary``: a file for `tokenizers`.
+    ``labels``: doc_id and toxic (0 or 1), from which the toxic words are learned; without
+    it, or with too few toxic texts, no row is toxic.  ``toxic`` tells of any toxic word.
     Null and empty texts have the end mark only.  A null lang, or one without enough
     trusted documents, takes the threshold of all trusted documents; a perplexity equal
     to the threshold is kept.  With no trusted document, everything is kept and the
@@ -414,7 +455,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, pr
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sums = perplexities(docs, trusted, vocabulary, scratch)
+    sums = perplexities(docs, trusted, vocabulary, scratch, toxic_words(docs, labels) if labels is not None else None)
     mean = sums.filter("trusted").agg(F.sum("logp") / F.sum("n_tokens")).first()[0] or 0.0
     # rounded: sums depend on the order of rows in their last bits, and few distinct values keep exact quantiles small
     steady = F.round(F.least(F.exp(-(F.col("logp") + prior * mean) / (F.col("n_tokens") + prior)), F.lit(1e6)), 2)
@@ -425,7 +466,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, pr
     by = scratch.keep(by)
     few = by.count() <= MAX_LANGUAGES  # else both sides are shuffled
     out = scored.join(F.broadcast(by) if few else by, "lang", "left")
-    out = out.select("row", "doc_id", "lang", "n_tokens", "perplexity", "steadied", F.coalesce("q", F.lit(every).cast("double")).alias("threshold"))
+    out = out.select("row", "doc_id", "lang", "n_tokens", "perplexity", "steadied", F.coalesce("q", F.lit(every).cast("double")).alias("threshold"), "toxic_words", (F.col("toxic_words") > 0).alias("toxic"))
     return out.withColumn("keep", F.coalesce(F.col("steadied") <= F.col("threshold"), F.lit(True)))
 
 
@@ -436,4 +477,5 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and verdict of each of ``documents``; cases as in ``classify``."""
-    return classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"))).drop("row")
+    labels = table(spark, sf_dir, "labels")
+    return classify(table(spark, sf_dir, "documents"), trusted_ids(labels), labels=labels).drop("row")

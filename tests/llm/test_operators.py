@@ -395,6 +395,29 @@ def test_quality_tells_text_from_noise(spark):
     assert gone[0] <= 0.02 and gone[1] <= 0.05 and min(gone[2], gone[3], gone[4]) >= 0.95
 
 
+def test_toxic_words(spark):
+    """Words that only toxic texts hold are learned; copies of one toxic text teach none of its other words."""
+    rng = random.Random(5)
+    common = [f"word{i}" for i in range(60)]
+
+    def text(*more):
+        return " ".join(rng.sample([*rng.choices(common, k=30), *more], 30 + len(more)))
+
+    docs = [(i, text("Scum" if i % 2 else "trash"), 1) for i in range(40)] + [(100 + i, text(), 0) for i in range(300)]
+    docs += [(500 + i, "one text copied with rareword and scum", 1) for i in range(60)]
+    free = [(1000, text("SCUM", "trash", "scum"), None), (1001, text(), None), (1002, "rareword", None), (1003, None, None), (1004, "", None), (None, "trash", None), (1005, "scummy", None)]
+    df = spark.createDataFrame([(i, t, "en") for i, t, _ in docs + free], "doc_id long, text string, lang string").withColumn("toxic", F.lit("clash"))
+    labels = spark.createDataFrame([(i, x) for i, _, x in docs] + [(0, 0), (0, 1), (1001, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    assert quality.toxic_words(df.select("doc_id", "text"), labels) == ["scum", "trash"]
+    trusted = labels.filter("toxic = 0").select("doc_id")
+    got = by_id(quality.classify(df, trusted, labels=labels), "toxic_words", "toxic", "keep")
+    assert [got[i][:2] for i in (1000, 1001, 1002, 1003, 1004, None, 1005)] == [(2, True), (0, False), (0, False), (0, False), (0, False), (1, True), (0, False)]
+    assert all(got[i][1] == bool(x) for i, _, x in docs)
+    plain = by_id(quality.classify(df, trusted), "toxic", "keep")
+    assert not any(x for x, _ in plain.values()) and {i: x[2] for i, x in got.items()} == {i: x[1] for i, x in plain.items()}
+    assert quality.toxic_words(df.select("doc_id", "text"), labels.limit(0)) == []
+
+
 # --- nearest neighbours and fixity ---
 
 
