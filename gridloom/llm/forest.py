@@ -7,8 +7,9 @@ until the rows that share the prefix in some tree are ``SHARE`` of the shard's r
 these candidates are ranked by exact distance.
 
 The forest is sharded by a hash of the vector id into shards of about ``SHARD`` rows.
-Each (shard, block of queries) is one group: sorted numpy arrays of bounded size.  A
-query's best rows of all shards are merged.  Every row is indexed.
+Each (shard, block of about ``BLOCK`` queries) is one group, which builds the sorted
+arrays once and then asks ``TOGETHER`` queries at a time.  A query's best rows of all shards
+are merged.  Every row is indexed.
 
 Equal vectors: only the ``k + 1`` smallest ids of a vector can be among anyone's
 ``k`` nearest under ties to the smaller id, so only these are indexed.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 K, TREES, BITS, SHARE = 10, 48, 24, 0.75
-SHARD, BLOCK, FIT = 4096, 1024, 10_000
+SHARD, BLOCK, TOGETHER, FIT = 16_384, 16_384, 512, 10_000
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -44,38 +45,52 @@ def codes(x: np.ndarray, mean: np.ndarray, trees: int, bits: int, seed: int) ->
     return out
 
 
-def search(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, mean: np.ndarray, k: int, trees: int, bits: int, share: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, distance) of each query's ``k`` nearest candidates in one shard."""
-    own, asked = codes(index, mean, trees, bits, seed), codes(queries, mean, trees, bits, seed)
-    order = np.argsort(own, axis=0, kind="stable")
-    sorted_codes = np.take_along_axis(own, order, axis=0)
-    want = min(len(index), max(4 * (k + 1), int(np.ceil(share * len(index)))))
-    out_q, out_i, out_d = [], [], []
-    seen = np.zeros((len(queries), len(index)), bool)
-    count = np.zeros(len(queries), np.int64)
-    live = np.arange(len(queries))
-    for depth in range(bits, -1, -1):  # all trees ascend together
-        for t in range(trees):
-            shift = bits - depth
-            prefix = asked[live, t] >> shift
-            lo = np.searchsorted(sorted_codes[:, t], prefix << shift)
-            hi = np.searchsorted(sorted_codes[:, t], (prefix + 1) << shift)
-            for q, a, b in zip(live[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                seen[q, order[a:b, t]] = True
-        count[live] = seen[live].sum(axis=1)
-        live = live[count[live] < want]
-        if not len(live):
-            break
-    for q in range(len(queries)):
-        at = np.flatnonzero(seen[q])
-        at = at[ids[at] != query_ids[q]]
-        d = np.sqrt(((index[at] - queries[q]) ** 2).sum(axis=1))
-        best = np.lexsort((ids[at], d))[:k]
-        out_q.append(np.full(len(best), query_ids[q]))
-        out_i.append(ids[at[best]])
-        out_d.append(d[best])
-    empty = [np.empty(0)]
-    return np.concatenate(out_q or empty).astype(np.int64), np.concatenate(out_i or empty).astype(np.int64), np.concatenate(out_d or empty)
+class Forest:
+    """One shard's rows, with each tree's hash strings sorted."""
+
+    def __init__(self, index: np.ndarray, ids: np.ndarray, mean: np.ndarray, trees: int, bits: int, seed: int):
+        self.index, self.ids, self.mean, self.trees, self.bits, self.seed = index, ids, mean, trees, bits, seed
+        own = codes(index, mean, trees, bits, seed)
+        self.order = np.argsort(own, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(own, self.order.T, axis=0).T)
+
+    def candidates(self, queries: np.ndarray, want: int) -> np.ndarray:
+        """Which rows are candidates of each query: ``want`` of them or more."""
+        asked = codes(queries, self.mean, self.trees, self.bits, self.seed)
+        seen = np.zeros((len(queries), len(self.index)), bool)
+        live = np.arange(len(queries))
+        for depth in range(self.bits, -1, -1):  # all trees ascend together
+            shift = self.bits - depth
+            for t in range(self.trees):
+                prefix = asked[live, t] >> shift
+                lo = np.searchsorted(self.sorted[t], prefix << shift)
+                hi = np.searchsorted(self.sorted[t], (prefix + 1) << shift)
+                for q, a, b in zip(live[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
+                    seen[q, self.order[t, a:b]] = True
+            live = live[seen[live].sum(axis=1) < want]
+            if not len(live):
+                break
+        return seen
+
+    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, distance) of each query's ``k`` nearest candidates."""
+        want = min(len(self.index), max(4 * (k + 1), int(np.ceil(share * len(self.index)))))
+        out_q, out_i, out_d = [], [], []
+        for i in range(0, len(queries), TOGETHER):
+            seen = self.candidates(queries[i : i + TOGETHER], want)
+            for v, own, hit in zip(queries[i : i + TOGETHER], query_ids[i : i + TOGETHER], seen, strict=True):
+                at = np.flatnonzero(hit)
+                at = at[self.ids[at] != own]
+                d = np.sqrt(((self.index[at] - v) ** 2).sum(axis=1))
+                if len(d) > k:  # only these can be among the nearest; ties stay
+                    some = d <= np.partition(d, k - 1)[k - 1]
+                    at, d = at[some], d[some]
+                best = np.lexsort((self.ids[at], d))[:k]
+                out_q.append(np.full(len(best), own))
+                out_i.append(self.ids[at[best]])
+                out_d.append(d[best])
+        empty = [np.empty(0)]
+        return np.concatenate(out_q or empty).astype(np.int64), np.concatenate(out_i or empty).astype(np.int64), np.concatenate(out_d or empty)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -88,7 +103,10 @@ def group_search(mean: np.ndarray, k: int, trees: int, bits: int, share: float,
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("ask").to_numpy()
         x, ids = matrix(group.column("v")), group.column("vec_id").to_numpy()
-        q, i, d = search(x[~asks], ids[~asks], x[asks], ids[asks], mean, k, trees, bits, share, seed) if asks.any() and not asks.all() else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        if asks.all() or not asks.any():
+            q, i, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        else:
+            q, i, d = Forest(x[~asks], ids[~asks], mean, trees, bits, seed).nearest(x[asks], ids[asks], k, share)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
 
     return run

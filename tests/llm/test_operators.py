@@ -444,6 +444,33 @@ def test_forest(spark):
     assert sorted((r.query_id, r.vec_id) for r in forest.nearest(few, F.lit(True)).collect()) == [(1, 2), (2, 1)]
 
 
+def recall(x, got, k=10):
+    """Share of each query's true nearest rows that were found; ids are places in ``x``."""
+    hit = total = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit, total = hit + len(set(np.lexsort((np.arange(len(x)), d))[:k]) & set(g.vec_id)), total + k
+    return hit / total
+
+
+def test_forest_recall(spark, monkeypatch):
+    """On the given table as the query asks it, in one shard or several; and with a twentieth of the rows on clustered vectors."""
+    df = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    held = df.orderBy("vec_id").select("vec_id", "embedding").toPandas()
+    assert held.vec_id.tolist() == list(range(len(held)))
+    x = np.array(held.embedding.tolist(), np.float64)
+    for size in (forest.SHARD, 500):
+        assert recall(x, forest.nearest(df, F.col("vec_id") % 20 == 0, shard=size).toPandas()) >= 0.9
+    rng = np.random.default_rng(4)
+    y = rng.standard_normal((100, 32))[rng.integers(0, 100, 6000)] + 0.1 * rng.standard_normal((6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    whole = forest.nearest(df, F.col("vec_id") % 20 == 0, share=0.05).toPandas()
+    assert recall(y, whole) >= 0.9
+    monkeypatch.setattr(forest, "TOGETHER", 7)
+    assert whole.equals(forest.nearest(df, F.col("vec_id") % 20 == 0, share=0.05).toPandas().set_index(["query_id", "rank"]).loc[list(zip(whole.query_id, whole["rank"]))].reset_index()[whole.columns].astype(whole.dtypes))
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}" if i % 7 else None, "x" * (i % 50) if i % 11 else None) for i in range(700)] + [(None, "u", "h"), (3, "again", "y")], "page_id long, url string, html string").withColumn("offset", F.lit("clash"))
     records = fixity.warc_records(pages, per_archive=300)
