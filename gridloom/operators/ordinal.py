@@ -11,16 +11,21 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = "__number"
 
 
-def shared_folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/gridloom-rows-{uuid.uuid4().hex[:12]}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``, gone when Python ends; a temporary one in local mode without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex[:12]}"
 
     def remove() -> None:
         try:
@@ -37,7 +42,7 @@ def numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
     """The rows with ``NUMBER`` (from 1 in this order), and how many there are.  Runs jobs."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # an increasing id is (partition << 33) + place in the partition
-    path = shared_folder(df)
+    path = shared_folder(df.sparkSession, "rows")
     ranged.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     part = F.shiftright("__id", 33)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import predicates
 from .operators import pipeline, profile, tiles
+from .operators.ordinal import shared_folder
 from .operators.pipeline import PLACE
 from .plans import export
 from .plans.view import View, canonical
@@ -234,9 +235,7 @@ def _count_filtered(spark, d):
 
 def written(spark, df: DataFrame, how, read) -> DataFrame:
     """Rows after a round trip through a sink, in a folder all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    top = f"{base.rstrip('/')}/gridloom-io-{os.getpid()}-{id(df)}"
-    atexit.register(shutil.rmtree, top.removeprefix("file://"), True)
+    top = shared_folder(spark, "io")
     how(df, top)
     return read(top)
 
@@ -356,6 +355,7 @@ def _rewrite(spark, d):
 @query("scan_delta", "SELECT r_regionkey, r_name FROM region")
 def _delta(spark, d):
     top = tempfile.mkdtemp(prefix="gridloom-delta-")
+    atexit.register(shutil.rmtree, top, True)
     os.makedirs(f"{top}/_delta_log")
     shutil.copy(f"{d}/region.parquet", f"{top}/a.parquet")
     shutil.copy(f"{d}/region.parquet", f"{top}/b.parquet")
@@ -369,6 +369,7 @@ def _delta(spark, d):
 @query("scan_iceberg", "SELECT r_regionkey, r_name FROM region")
 def _iceberg(spark, d):
     top = tempfile.mkdtemp(prefix="gridloom-iceberg-")
+    atexit.register(shutil.rmtree, top, True)
     files = {"meta.json": {"current-snapshot-id": 2, "snapshots": [{"snapshot-id": 1}, {"snapshot-id": 2, "manifest-list": "list.json"}]}, "list.json": [{"manifest_path": "m.json"}], "m.json": [{"status": 1, "data_file": {"file_path": os.path.abspath(f"{d}/region.parquet")}}, {"status": 2, "data_file": {"file_path": "/gone.parquet"}}]}
     for k, x in files.items():
         with open(f"{top}/{k}", "w", encoding="utf-8") as f:
@@ -397,9 +398,28 @@ def _browse(spark, d):
     return spark.createDataFrame([(t["name"],) for t in Engine(spark).browse() if t["name"] == "gridloom_region"], "name string")
 
 
-@query("recommendations")
+def grouped(spark, d) -> list[str]:
+    """The orders in the order of their keys, as one file with row groups of 400 rows."""
+    out: list[str] = []
+
+    def write(df, p):
+        df.coalesce(1).sortWithinPartitions("o_orderkey").write.option("parquet.block.row.count.limit", 400).parquet(p)
+        out.extend(readers.expand(f"{p.removeprefix('file://')}/*.parquet"))
+
+    written(spark, spark.read.parquet(f"{d}/orders.parquet"), write, lambda p: None)
+    return out
+
+
+@query("recommendations", "SELECT 'small_row_groups' AS recommendation FROM orders HAVING count(*) > 400 UNION ALL SELECT 'no_bloom_filters' FROM orders HAVING count(*) > 0")
 def _recommendations(spark, d):
-    return spark.createDataFrame([(x,) for x in footers.recommendations([f"{d}/lineitem.parquet"])], "recommendation string")
+    """Small row groups and no Bloom filters are found, statistics aren't missing."""
+    return spark.createDataFrame([(x,) for x in footers.recommendations(grouped(spark, d))], "recommendation string")
+
+
+@query("footer_row_groups", "SELECT r // 400 AS rg_index, min(r) AS row_offset, count(*) AS row_count, min(o_orderkey) AS min, max(o_orderkey) AS max FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) GROUP BY r // 400")
+def _footer_row_groups(spark, d):
+    got = footers.row_group_stats(grouped(spark, d), "o_orderkey")
+    return spark.createDataFrame([tuple(g[k] for k in ("rg_index", "row_offset", "row_count", "min", "max")) for g in got], "rg_index long, row_offset long, row_count long, min long, max long")
 
 
 @query("detect_pre_sorted", "SELECT 0 AS n_keys")
@@ -407,6 +427,20 @@ def _pre_sorted(spark, d):
     return spark.createDataFrame([(len(footers.sorted_by([f"{d}/orders.parquet"])),)], "n_keys int")
 
 
+@query("pre_sorted_file", "SELECT 'n_regionkey' AS \"column\", true AS descending, false AS nulls_last, count(*) AS n_rows FROM nation UNION ALL SELECT 'n_name', false, true, count(*) FROM nation")
+def _pre_sorted_file(spark, d):
+    """The sort keys that a file's row groups declare."""
+    import pyarrow.parquet as pq
+
+    t = spark.read.parquet(f"{d}/nation.parquet").orderBy(F.desc("n_regionkey"), "n_name").toArrow()
+    names = t.column_names
+    with tempfile.TemporaryDirectory() as top:
+        keys = [pq.SortingColumn(names.index("n_regionkey"), descending=True, nulls_first=True), pq.SortingColumn(names.index("n_name"), descending=False, nulls_first=False)]
+        pq.write_table(t, f"{top}/n.parquet", sorting_columns=keys, row_group_size=10)
+        found, n = footers.sorted_by([f"{top}/n.parquet"]), footers.row_count([f"{top}/n.parquet"])
+    return spark.createDataFrame([(k["column"], k["descending"], k["nulls_last"], n) for k in found], "column string, descending boolean, nulls_last boolean, n_rows long")
+
+
 # --- profiles -------------------------------------------------------------
 
 
@@ -499,9 +533,20 @@ def _search(spark, d):
     return tiles.search(source(spark, d, "part"), "12", ["p_name", "p_type", "p_brand"])
 
 
-@query("landmarks")
+_LANDMARKS = (
+    "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders), b AS (SELECT r // 256 AS b, count(*) AS n, count(*) FILTER (r % 700 = 600) AS odd FROM o GROUP BY b) "
+    "SELECT b * 256 AS row_offset, n AS row_count, 'outlier' AS type, 1.0 AS severity, 'price' AS columns FROM b WHERE odd > 0 UNION ALL SELECT b * 256, n, 'null_surge', 0.75, 'a,b,c' FROM b WHERE b = 2"
+)
+
+
+@query("landmarks", _LANDMARKS)
 def _landmarks(spark, d):
-    return profile.landmarks(source(spark, d, "lineitem"))
+    """Blocks of 256 rows, some with a price far out, one with three columns null."""
+    held = Engine(spark).register(several(spark, d)).df
+    r = F.col(PLACE)
+    price = F.when(r % 700 == 600, F.lit(6000.0)).otherwise(1000.0 + r % 100)
+    gone = [F.when(F.floor(r / 256) != 2, F.lit("x")).alias(c) for c in "abc"]
+    return profile.landmarks(held.select(price.alias("price"), *gone, PLACE), 256).withColumn("columns", F.concat_ws(",", "columns"))
 
 
 @query("outlier_class", "SELECT s_suppkey, CASE WHEN s_acctbal > 9000 THEN 'high' WHEN s_acctbal < 0 THEN 'low' ELSE 'none' END AS class, greatest(0, least(1, s_acctbal / 9000)) AS level FROM supplier")
