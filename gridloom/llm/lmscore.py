@@ -35,6 +35,8 @@ MU = 300.0
 SEGMENT = 16 << 20
 #: Text bytes of a step, about; a longer text is a step of its own.
 TOGETHER = 4 << 20
+#: N-grams that are probed at once.
+BLOCK = 1 << 18
 END, START = U64(0x1234567), U64(0x7654321)
 
 
@@ -125,6 +127,26 @@ def entry(keys: np.ndarray, lv) -> tuple[np.ndarray, np.ndarray]:
 MODEL = pa.schema([("seg", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("bits", pa.binary()), ("probes", pa.int32()), ("base", pa.int32())])
 
 
+def filtered(keys: np.ndarray, counts: np.ndarray, share: int | None) -> tuple[bytes, int, int, int]:
+    """The filter's bits, and its size, probes and base."""
+    lv = level(counts)
+    above = np.bincount(lv, minlength=2)[::-1].cumsum()[::-1]  # n-grams that reach a level
+    base = 0
+    while share is not None and above[base + 1 :].sum() * MIN_BITS > share and base + 2 < len(above):
+        base += 1
+    entries = max(1, int(above[base + 1 :].sum()))
+    size = int((entries * BITS if share is None else min(share, entries * BITS)) + 64)
+    probes = max(1, min(8, round(size / entries * 0.69)))
+    bits = np.zeros(size, bool)
+    for x in range(base + 1, len(above)):
+        reach = keys[lv >= x]
+        for begin in range(0, len(reach), BLOCK):
+            h1, h2 = entry(reach[begin : begin + BLOCK], x)
+            for i in range(probes):
+                bits[((h1 + U64(i) * h2) % U64(size)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes(), size, probes, base
+
+
 def build(share: int | None = None):
     """Exact unigram counts and the segment's filter, with ``BITS`` bits an entry.
 
@@ -139,26 +161,14 @@ def build(share: int | None = None):
         uk, un = summed(column("uk", "<u8").astype(U64), column("uc", "<u4"))
         bk, bn = summed(column("bk", "<u8").astype(U64), column("bc", "<u4"))
         (uk, un), (bk, bn) = ((k[n > 0], n[n > 0]) for k, n in ((uk, un), (bk, bn)))
-        keys, lv = np.concatenate((uk, bk)), level(np.concatenate((un, bn)))
-        above = np.bincount(lv, minlength=2)[::-1].cumsum()[::-1]  # n-grams that reach a level
-        base = 0
-        while share is not None and above[base + 1 :].sum() * MIN_BITS > share and base + 2 < len(above):
-            base += 1
-        entries = max(1, int(above[base + 1 :].sum()))
-        size = int((entries * BITS if share is None else min(share, entries * BITS)) + 64)
-        probes = max(1, min(8, round(size / entries * 0.69)))
-        bits = np.zeros(size, bool)
-        for x in range(base + 1, len(above)):
-            h1, h2 = entry(keys[lv >= x], x)
-            for i in range(probes):
-                bits[((h1 + U64(i) * h2) % U64(size)).astype(np.int64)] = True
-        n = len(uk)
-        seg = group.column("seg")[0].as_py()
-        nulls = [None] * n
-        return pa.Table.from_arrays(
-            [pa.array([seg] * (n + 1), pa.int32()), pa.array([*uk.view(np.int64), None], pa.int64()), pa.array([*un, size], pa.int64()), pa.array([*nulls, np.packbits(bits).tobytes()], pa.binary()), pa.array([*nulls, probes], pa.int32()), pa.array([*nulls, base], pa.int32())],
-            schema=MODEL,
-        )
+        bits, size, probes, base = filtered(np.concatenate((uk, bk)), np.concatenate((un, bn)), share)
+        last = np.arange(len(uk) + 1) == len(uk)
+
+        def only(value, kind):
+            return pa.concat_arrays([pa.nulls(len(uk), kind), pa.array([value], kind)])
+
+        columns = [np.full(len(last), group.column("seg")[0].as_py(), np.int32), pa.array(np.append(uk, U64(0)).view(np.int64), mask=last), np.append(un, size), only(bits, pa.binary()), only(probes, pa.int32()), only(base, pa.int32())]
+        return pa.Table.from_arrays([pa.array(x, f.type) if isinstance(x, np.ndarray) else x for x, f in zip(columns, MODEL, strict=True)], schema=MODEL)
 
     return run
 
@@ -224,22 +234,26 @@ def answer(share: int | None = None):
     """Exact unigram counts, and the levels of each step's n-grams from the segment's filter."""
 
     def run(group: pa.Table) -> pa.Table:
-        asked = {k: [np.cumsum(unplaned(x, "<u8")) for x in group.column(k).to_pylist()] for k in ("uk", "bk")}
-        counts = {k: [unplaned(x, "<u4") for x in group.column(k).to_pylist()] for k in ("uc", "bc")}
-        raw = {k: [np.concatenate(x).tobytes()] for k, x in (asked | counts).items()}
-        model = build(share)(pa.table({"seg": group.column("seg").slice(0, 1)} | {k: pa.array(x, pa.binary()) for k, x in raw.items()}))
-        last = model.slice(len(model) - 1).to_pylist()[0]
-        counted = model.slice(0, len(model) - 1)
-        probe = Filter(*joined([(0, last["bits"], last["c"], last["probes"], last["base"])], 1))
+        found = []
+        for key, count in (("uk", "uc"), ("bk", "bc")):
+            asked = [np.cumsum(unplaned(x.as_py(), "<u8")) for x in group.column(key)]
+            ends = np.append(0, np.cumsum([len(x) for x in asked]))
+            keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+            n = np.concatenate([unplaned(x.as_py(), "<u4") for x in group.column(count)])
+            found.append((keys, back, ends, np.bincount(back, n, len(keys)).astype(np.int64)))
+        (uk, un), (bk, bn) = ((k[n > 0], n[n > 0]) for k, _, _, n in found)
+        bits, size, probes, base = filtered(np.concatenate((uk, bk)), np.concatenate((un, bn)), share)
+        del bk, bn
+        probe = Filter(*joined([(0, bits, size, probes, base)], 1))
         levels = []
-        for k in ("uk", "bk"):
-            keys, back = np.unique(np.concatenate(asked[k]), return_inverse=True)
-            lv = probe.levels(keys).astype(np.uint8)[back]
-            ends = np.cumsum([len(x) for x in asked[k]])
-            levels.append([lv[b - len(x) : b].tobytes() for x, b in zip(asked[k], ends, strict=True)])
-        n, m = len(counted), len(group)
-        columns = [(counted.column("key"), pa.nulls(m, pa.int64())), (counted.column("c"), pa.nulls(m, pa.int64())), (pa.nulls(n, pa.int64()), group.column("step")), (pa.nulls(n, pa.int32()), group.column("seg")), *((pa.nulls(n, pa.binary()), pa.array(x, pa.binary())) for x in levels)]
-        return pa.Table.from_arrays([pa.chunked_array([c for part in parts for c in (part.chunks if isinstance(part, pa.ChunkedArray) else [part])], f.type) for f, parts in zip(ANSWERS, columns, strict=True)], schema=ANSWERS).combine_chunks()
+        while found:
+            keys, back, ends, _ = found.pop(0)
+            lv = np.concatenate([probe.levels(keys[i : i + BLOCK]).astype(np.uint8) for i in range(0, len(keys), BLOCK)] or [np.empty(0, np.uint8)])[back]
+            levels.append(pa.array([lv[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()))
+        n, m = len(uk), len(group)
+        one = [pa.array(uk.view(np.int64)), pa.array(un), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2]
+        two = [*[pa.nulls(m, pa.int64())] * 2, group.column("step"), group.column("seg"), *levels]
+        return pa.concat_tables([pa.Table.from_arrays(x, schema=ANSWERS) for x in (one, two)]).combine_chunks()
 
     return run
 
