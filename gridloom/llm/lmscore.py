@@ -37,6 +37,8 @@ SEGMENT = 16 << 20
 TOGETHER = 4 << 20
 #: N-grams that are probed at once.
 BLOCK = 1 << 18
+#: Bits of a bigram's hash that are kept: among 1e12 bigrams, one in 280 meets another's, about as many as the filter's false positives.
+PAIR = ~U64((1 << 16) - 1)
 END, START = U64(0x1234567), U64(0x7654321)
 
 
@@ -57,17 +59,24 @@ def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bigrams(t: np.ndarray, before: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(before * U64(0xD6E8FEB86659FD93) + t + GOLDEN)
+        return mix(before * U64(0xD6E8FEB86659FD93) + t + GOLDEN) & PAIR
 
 
-HELD = pa.schema([("step", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("text", pa.list_(pa.binary()))])
+HELD = pa.schema([("step", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
 def together(batches):
-    """Each step's rows as one row."""
+    """Each step's rows as one row, their texts together by zstd."""
     task = TaskContext.get().partitionId()
     for i, (batch, raw) in enumerate(steps(batches, limit=TOGETHER)):
-        yield batch_of(HELD, {"step": [(task << 32) + i], "doc_id": [batch.column("doc_id").to_pylist()], "held_out": [batch.column("held_out").to_pylist()], "text": [raw]})
+        yield batch_of(HELD, {"step": [(task << 32) + i], "doc_id": [batch.column("doc_id").to_pylist()], "held_out": [batch.column("held_out").to_pylist()], "size": [[len(x) for x in raw]], "text": [pa.Codec("zstd", compression_level=3).compress(b"".join(raw), asbytes=True)]})
+
+
+def texts(size: list[int], text: bytes) -> list[bytes]:
+    """A step's texts."""
+    ends = np.append(0, np.cumsum(size))
+    every = pa.decompress(text, int(ends[-1]), codec="zstd", asbytes=True)
+    return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def trained(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +98,7 @@ def count(segments: int):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                t, before, first = tokens(batch.column("text")[i].as_py())
+                t, before, first = tokens(texts(*(batch.column(k)[i].as_py() for k in ("size", "text"))))
                 train = np.repeat(~np.array(batch.column("held_out")[i].as_py(), bool), np.diff(first))
                 rows = {f.name: [] for f in PACKED}
                 parts = []
@@ -270,7 +279,7 @@ def score(shared, total: int, distinct: int, mu: float):
         seg = np.argsort(levels.column("seg").to_numpy())  # segments are in the order of keys
         got = levels.take(pa.array(seg))
         c_words, c_pairs = (count_of(np.frombuffer(b"".join(got.column(k).to_pylist()), np.uint8).astype(np.int64)) for k in ("ul", "bl"))
-        t, before, first = tokens(held.column("text")[0].as_py())
+        t, before, first = tokens(texts(*(held.column(k)[0].as_py() for k in ("size", "text"))))
         words, back = np.unique(t, return_inverse=True)
         at = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
         known = head[at] == words if len(head) else np.zeros(len(words), bool)
@@ -304,7 +313,7 @@ def lm_scores(docs: DataFrame, remainder: int = 1, mu: float = MU, max_filter: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(16, -(-size // SEGMENT))
-    held = scratch.keep(docs.mapInArrow(together, "step long, doc_id array<long>, held_out array<boolean>, text array<binary>"))
+    held = scratch.keep(docs.mapInArrow(together, "step long, doc_id array<long>, held_out array<boolean>, size array<long>, text binary"), "none")
     packed = held.mapInArrow(count(segments), "step long, seg int, uk binary, uc binary, bk binary, bc binary")
     share = None if max_filter is None else 8 * max_filter // segments
     model = scratch.keep(packed.groupBy("seg").applyInArrow(answer(share), "key long, c long, step long, seg int, ul binary, bl binary"))
