@@ -55,6 +55,8 @@ MAX_LANGUAGES, MAX_IDS = 10_000, 1_000_000
 SHARE, TEXTS, RATIO = 0.1, 5, 20
 #: Tokens of a step, about; text bytes for a shard, about.
 TOGETHER, SHARD = 3 << 20, 32 << 20
+#: Buckets of the steps at most, half of what Spark allows.
+MAX_BUCKETS = 50_000
 
 #: A trigram is one integer of three tokens; the last token numbers are marks.
 BITS = 21
@@ -425,7 +427,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, sc
     docs = docs.withColumn("toxic_words", F.size(F.array_intersect(words(F.col("text")), F.lit(toxic))) if toxic else F.lit(0))
     # bucketed by step, so that meeting the answers doesn't shuffle the tokens again
     name = f"quality_{uuid.uuid4().hex}"
-    docs.mapInArrow(together(vocabulary, TOGETHER), HELD_SQL).write.bucketBy(shards, "step").option("path", f"{scratch.top}/held").option("compression", "none").format("parquet").saveAsTable(name)
+    docs.mapInArrow(together(vocabulary, TOGETHER), HELD_SQL).write.bucketBy(min(shards, MAX_BUCKETS), "step").option("path", f"{scratch.top}/held").option("compression", "none").format("parquet").saveAsTable(name)
     held = spark.table(name)
     owner = scratch.keep(held.mapInArrow(ask_trigrams(shards), SENT_SQL).groupBy("shard").applyInArrow(owned(shards), SENT_SQL), "none")
     shared = spark.sparkContext.broadcast(models(owner))
