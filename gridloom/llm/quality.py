@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, segment_of, slices, squeezed, summed, table, unsqueezed
+from .common import GOLDEN, U64, Scratch, batch_of, mix, odd_powers, remove, segment_of, slices, squeezed, summed, table, unsqueezed
 from .packing import Encoder, default_vocabulary
 from .wordsql import words
 
@@ -437,6 +437,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, vocabulary: str | None, sc
     scored = scored.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max("toxic_words").alias("toxic_words"), F.sum("tokens").alias("n_tokens"), F.sum("logp").alias("logp"))
     scored = scratch.keep(scored)
     spark.sql(f"DROP TABLE {name}")
+    remove(spark, f"{scratch.top}/held")  # an external table's files outlive it
     scratch.only(scored)
     return scored
 
