@@ -10,16 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gridloom.llm import decontaminate, minhash, packing, quality, suffix
 from gridloom.llm.common import Scratch, table
 
 
 def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a key in a column of a new name; written, so that the key is the same whenever it is read."""
+    """The rows with a key in a column of a new name: doc_id, if it is an integer that each row has for itself.
+
+    Otherwise a number, with the rows written, so that it is the same whenever it is read.
+    """
     key = "row_key"
     while key in docs.columns:
         key += "_"
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1")
+        if shared.isEmpty():
+            return docs.withColumn(key, F.col("doc_id").cast("long")), key
     return Scratch(spark, "keyed").keep(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
