@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import pytest
+
 import corpus_pipeline as pipeline
 from gridloom.llm import packing
 from tests.helpers import DATA
@@ -75,3 +77,14 @@ def test_rows_without_or_with_one_id(spark):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("text").limit(3)
     leaks = items.selectExpr(*[f"cast({'text' if c == 'text' else 'null'} as {t}) as {c}" for c, t in docs.dtypes])
     assert stages["benchmark_decontamination"](spark, leaks, DATA).count() == 0
+
+
+@pytest.mark.parametrize(("ids", "own"), [([1, 2, -3], True), ([1, 1, 2], False), ([1, None, 2], False), (["1", "2", "x"], False), ([], True)])
+def test_keys(spark, ids, own):
+    """Each row has a key of its own: doc_id where that is one."""
+    kind = "string" if ids and isinstance(ids[0], str) else "long"
+    docs = spark.createDataFrame([(i, "same") for i in ids], f"doc_id {kind}, row_key string")
+    rows, key = pipeline.keyed(spark, docs)
+    got = rows.collect()
+    assert key == "row_key_" and len({r[key] for r in got}) == len(ids)
+    assert not own or all(r[key] == r["doc_id"] for r in got)
