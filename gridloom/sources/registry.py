@@ -172,8 +172,9 @@ class Engine:
     def row_group_stats(self, source_id: str, column: str) -> list[dict]:
         return footers.row_group_stats(self.get(source_id).files, column)
 
-    def landmarks(self, source_id: str) -> DataFrame:
-        return profiles.landmarks(self.get(source_id).df)
+    def landmarks(self, source_id: str, most: int | None = profiles.LANDMARKS) -> DataFrame:
+        """What a viewer shows; None for all."""
+        return profiles.landmarks(self.get(source_id).df, most=most)
 
     def inspect(self, uri: str) -> dict:
         """Rows and columns of a source, which isn't kept."""

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries
 from gridloom.functions import predicates
 from gridloom.operators import pipeline, profile, tiles
 from gridloom.operators.pipeline import PLACE, apply
@@ -16,7 +17,7 @@ from gridloom.sources import readers, sinks
 from gridloom.sources.registry import Engine
 from gridloom.streaming import apply_stream
 
-from .helpers import DATA
+from .helpers import DATA, connect, same
 
 
 def op(kind, **kw):
@@ -174,6 +175,17 @@ def test_landmarks(spark):
     assert ("null_surge", 500) in got and ("outlier", 200) in got
 
 
+def test_landmarks_beyond_a_view(spark, tmp_path):
+    """All blocks that stand out, also over 200."""
+    df = spark.range(0, 3000, 1, 1).selectExpr("case when id % 10 = 3 then 1e6 else id % 7 end d")
+    assert [r.row_offset for r in profile.landmarks(df, 10).collect()] == list(range(0, 3000, 10))
+    assert [r.row_offset for r in profile.landmarks(df, 10, 20).collect()] == list(range(0, 200, 10))
+
+
+def test_landmarks_of_a_larger_table(spark):
+    same(queries.QUERIES["landmarks"](spark, "/root/testdata/sf0.1"), connect("/root/testdata/sf0.1"), queries.ORACLES["landmarks"])
+
+
 def test_tiles(spark):
     df = readers.read_parquet(spark, [f"{DATA}/orders.parquet"])
     a = tiles.source_tile(df, 10, 1, 5, 2).toPandas()
