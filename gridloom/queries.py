@@ -460,7 +460,7 @@ _STATS = "SELECT '{c}' AS \"column\", count(*) AS count, count(*) - count({c}) A
 
 @query("col_stats", " UNION ALL ".join([_STATS.format(c="l_quantity", m="round(avg(l_quantity), 6)", t="lineitem"), _STATS.format(c="l_returnflag", m="CAST(NULL AS DOUBLE)", t="lineitem")]))
 def _col_stats(spark, d):
-    return profile.column_stats(source(spark, d, "lineitem"), ["l_quantity", "l_returnflag"], exact=True).select("column", "count", "null_count", "distinct", F.round("mean", 6).alias("mean"))
+    return profile.column_stats(source(spark, d, "lineitem"), ["l_quantity", "l_returnflag"], exact=True, points=False).select("column", "count", "null_count", "distinct", F.round("mean", 6).alias("mean"))
 
 
 _CLASS = (
@@ -472,7 +472,7 @@ _CLASSED = ["c_custkey", "c_nationkey", "c_mktsegment", "c_name"]
 
 @query("profile", " UNION ALL ".join(_CLASS.format(c=c) for c in _CLASSED))
 def _profile(spark, d):
-    return profile.column_stats(source(spark, d, "customer"), _CLASSED, exact=True).select("column", "distinct", "cardinality")
+    return profile.column_stats(source(spark, d, "customer"), _CLASSED, exact=True, points=False).select("column", "distinct", "cardinality")
 
 
 @query("col_stats_coarse", "SELECT least(8192, count(*)) AS count FROM lineitem")
